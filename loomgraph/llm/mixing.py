@@ -4,9 +4,9 @@ Every source gets a target of words: a share of the budget by its weight, but ``
 own words at most, the excess dealt anew by weight until no source is above. A source whose target is
 f times its words gives each document floor(f) times, and once more with probability f - floor(f).
 Those probabilities are moved through the null space of two constraints, words and documents of the
-source, until each is 0 or 1: a block of documents keeps both totals exactly and leaves two undecided
-documents or so, the undecided ones of all blocks form the next level's blocks, and what is left of a source in
-the end, three documents at most, is landed on the choice nearest to its words.
+source, until each is 0 or 1, the longest documents first: a block keeps both totals exactly and leaves two of its shortest
+documents undecided or so, the undecided ones of all blocks form the next level's blocks, and what is left of
+a source in the end, two short documents, is landed on the choice nearest to its words.
 
 Blocks hold about ``BLOCK`` documents however large their source is, so a hot source is many tasks and
 nothing grows with the corpus but the number of blocks. Only totals by source reach the driver; more than
@@ -107,19 +107,19 @@ def land(sizes: list[float], chances: list[float]) -> list[float]:
 
 def _flight(seed: int):
     def one_block(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        group = group.sort_values(["size", "order", "id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
         key = [seed, *(int(group[c].iloc[0]) for c in ("level", "source_no", "block"))]
         sizes = group["size"].astype(float).tolist()
         chances = fly(sizes, group["chance"].tolist(), np.random.default_rng(key))
         if bool(group["last"].iloc[0]):
             chances = land(sizes, chances)
-        return group.assign(chance=chances)[["row", "id", "source_no", "size", "chance"]]
+        return group.assign(chance=chances)[["id", "source_no", "size", "chance"]]
 
     return one_block
 
 
 def choose(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """Decide units (row, id, source_no, size, chance): the same rows with chance 0 or 1."""
+    """Decide units (id, source_no, size, chance): the same rows with chance 0 or 1."""
     spark, kind = units.sparkSession, units.schema["id"].dataType.simpleString()
     decided: list[DataFrame] = []
     rest, level = units, 0
@@ -131,12 +131,12 @@ def choose(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
         table = spark.createDataFrame(list(blocks.items()), "source_no int, blocks int")
         order = F.xxhash64(F.lit(seed), F.lit(level), "id", "size")
         dealt = rest.join(table, "source_no").select(
-            "row", "id", "source_no", "size", "chance",
+            "id", "source_no", "size", "chance",
             order.alias("order"), F.lit(level).alias("level"),
             F.pmod(order, F.col("blocks")).cast("int").alias("block"), (F.col("blocks") == 1).alias("last"),
         )
         done = cut(
-            dealt.groupBy("source_no", "block").applyInPandas(_flight(seed), f"row long, id {kind}, source_no int, size long, chance double"),
+            dealt.groupBy("source_no", "block").applyInPandas(_flight(seed), f"id {kind}, source_no int, size long, chance double"),
             f"flight{level}",
         )
         settled = (F.col("chance") == 0) | (F.col("chance") == 1)
@@ -165,9 +165,7 @@ def blend(
     """
     spark = documents.sparkSession
     sized = cut(
-        documents.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), words_in(F.col(text)).alias("size")).withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
+        documents.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), words_in(F.col(text)).alias("size")),
         "sized",
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"))
@@ -184,9 +182,9 @@ def blend(
     table = spark.createDataFrame(plan, "source string, source_no int, source_size long, target double, whole int, chance double")
     units = sized.withColumnRenamed("source", "own").join(table, F.col("own").eqNullSafe(F.col("source")))
     open_ = (F.col("chance") > TINY) & (F.col("size") > 0)
-    drawn = choose(units.filter(open_).select("row", "id", "source_no", "size", "chance"), seed, block)
+    drawn = choose(units.filter(open_).select("id", "source_no", "size", "chance"), seed, block)
     plain = units.filter(~open_).select("id", "source_no", "size", F.lit(0.0).alias("chance"))
-    every = plain.unionByName(drawn.select("id", "source_no", "size", "chance")).join(table.drop("chance"), "source_no")
+    every = plain.unionByName(drawn).join(table.drop("chance"), "source_no")
     copies = (F.col("whole") + F.col("chance").cast("int")).cast("int")
     return every.select(
         F.col("id").alias(id), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import gif, mixing, secrets, url_filter
+from loomgraph.llm import gif, mixing, near_dup, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.blend(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+@_query("op2_near_dup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
+
+
 URL_RULES = (
     ("block", "net", "/"),
     ("allow", "example.net", "/en/"),
