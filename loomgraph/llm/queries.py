@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import gif, mixing, near_dup, secrets, url_filter
+from loomgraph.llm import decontaminate, gif, mixing, near_dup, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined("spans", secrets.BASE_KINDS), 256).alias("base_sha256"),
         secrets.joined("spans", secrets.KINDS).alias("spans"),
     )
+
+
+@_query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
