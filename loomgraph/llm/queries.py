@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, gif, mixing, near_dup, quality, secrets, toxicity, url_filter
+from loomgraph.llm import decontaminate, gif, html_text, mixing, near_dup, pii, quality, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(documents, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", _remainder(4) != 2)
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op5_html_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    read = html_text.main_text(pages, html_text.fit(pages))
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(k) for k in pii.BASE_KINDS),
+        F.sha2(pii.joined("spans", pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.joined("spans", pii.KINDS).alias("spans"),
+    )
