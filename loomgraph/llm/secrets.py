@@ -13,18 +13,16 @@ give the same findings on every path; an empty table gives an empty ledger and n
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sessions import cut
 
-RULE_VERSION = 1
+RULE_VERSION = 1  # raise it with every change of the patterns: all blobs are then scanned again
 KINDS = ("assign", "access", "hex", "pem", "forge")
 BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -97,19 +95,9 @@ def joined(spans, kinds: tuple[str, ...]):
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def mask(text: str, spans: list[tuple[int, int]], by: str = "[secret]") -> str:
-    """``text`` with every span replaced; overlapping spans count as one."""
-    edges: list[list[int]] = []
-    for start, end in sorted(spans):
-        if edges and start <= edges[-1][1]:
-            edges[-1][1] = max(edges[-1][1], end)
-        else:
-            edges.append([start, end])
-    if not edges:
-        return text
-    pieces = [text[: edges[0][0]], *(text[a[1] : b[0]] for a, b in pairwise(edges)), text[edges[-1][1] :]]
-    return by.join(pieces)
-
-
-def digest(joined_spans: str) -> str:
-    return hashlib.sha256(joined_spans.encode()).hexdigest()
+def redacted(text: str = "text", spans: str = "spans", by: str = "[secret]") -> Column:
+    """The text with ``by`` in place of every span; spans that overlap or touch count as one."""
+    piece = f"concat(acc.out, case when s.start > acc.at or acc.at = 0 then concat(substring({text}, acc.at + 1, s.start - acc.at), '{by}') else '' end)"
+    step = f"case when s.end <= acc.at then acc else named_struct('at', s.end, 'out', {piece}) end"
+    whole = f"aggregate({spans}, named_struct('at', 0, 'out', ''), (acc, s) -> {step}, acc -> concat(acc.out, substring({text}, acc.at + 1)))"
+    return F.when(F.size(spans) > 0, F.expr(whole)).otherwise(F.col(text))
