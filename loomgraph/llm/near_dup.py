@@ -39,7 +39,7 @@ from loomgraph.sessions import cut
 
 HALVES = 8
 ROWS = 2
-BLOCK = 192
+BLOCK = 256
 _LONGS = pa.list_(pa.int64())
 
 
@@ -209,8 +209,9 @@ def components(
     star = cut(buckets.join(pivots, "key").filter("rep <> pivot").select("rep", "pivot").distinct(), "families")
 
     members = star.select("pivot", F.col("rep").alias("id"))
+    # the ids grow with the corpus, so these joins are sort-merge at every size
     wanted = members.select("id").union(members.select("pivot")).distinct()
-    texts = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("_text")).join(wanted, "id")
+    texts = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("_text")).join(wanted.hint("merge"), "id")
     sets = cut(shingle_sets(texts, "_text", k), "sets")
 
     sizes = star.groupBy("pivot").agg(F.count("*").alias("m"))
@@ -218,7 +219,7 @@ def components(
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     hubs = sizes.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block).cast("int") - 1)).alias("block"))
     within = dealt.select("pivot", "id", "block").unionByName(hubs)
-    found = cut(_compared(within.join(sets, "id"), ["pivot", "block"], percent), "links")
+    found = cut(_compared(within.join(sets.hint("merge"), "id"), ["pivot", "block"], percent), "links")
 
     wide = cut(dealt.filter("blocks > 1").select("pivot", "id"), "wide")
     if not wide.isEmpty():
@@ -240,9 +241,8 @@ def _across(wide: DataFrame, known: DataFrame, block: int) -> DataFrame:
     counts = tagged.groupBy("pivot", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("pivot").agg(F.max(F.struct("c", -F.col("component"))).alias("top"), F.sum("c").alias("m"))
     main = main.select("pivot", (-F.col("top.col2")).alias("top"), F.col("top.c").alias("n_top"), (F.col("m") - F.col("top.c")).alias("n_rest")).filter("n_rest > 0")
-    half = max(1, block // 2)
     split = tagged.join(main, "pivot").withColumns(
-        {"b_top": F.ceil(F.col("n_top") / half).cast("int"), "b_rest": F.ceil(F.col("n_rest") / half).cast("int"), "is_top": F.col("component") == F.col("top")}
+        {"b_top": F.ceil(F.col("n_top") / block).cast("int"), "b_rest": F.ceil(F.col("n_rest") / block).cast("int"), "is_top": F.col("component") == F.col("top")}
     )
     here = F.when(F.col("is_top"), F.pmod(F.xxhash64("id"), F.col("b_top"))).otherwise(F.pmod(F.xxhash64("id"), F.col("b_rest"))).cast("int")
     split = split.withColumn("here", here)
@@ -255,6 +255,14 @@ def _across(wide: DataFrame, known: DataFrame, block: int) -> DataFrame:
 
 
 def dedup(documents: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, that of the smallest id; the input's columns only."""
-    stay = components(documents, id, text, k, percent).filter("kept").select(F.col(id).alias("_keep")).distinct()
-    return documents.join(stay, F.col(id).cast("long") == F.col("_keep"), "left_semi")
+    """One document of each group stays, that of the smallest id; the input's columns only.
+
+    Of rows that repeat an id, those equal in every column count as one. Rows without an id stay.
+    """
+    found = components(documents, id, text, k, percent).filter(F.col(id).isNotNull())
+    gone = found.filter(~F.col("kept")).select(id)
+    stay = documents.join(gone, id, "left_anti").select(*documents.columns)
+    repeated = found.groupBy(id).agg(F.count("*").alias("_n")).filter("_n > 1").select(id)
+    if repeated.isEmpty():
+        return stay
+    return stay.join(repeated, id, "left_anti").select(*documents.columns).unionByName(stay.join(repeated, id, "left_semi").select(*documents.columns).dropDuplicates())
