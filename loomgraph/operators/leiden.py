@@ -1,9 +1,9 @@
 """Leiden community detection in distributed rounds.
 
-A level is local moving, refinement and contraction. Moves are evaluated for all nodes at once; a seeded coin
-for each community lets nodes leave only communities of one side for those of the other, so no two swap,
-and a batch stands only if Q rises, else a seeded half of it is tried. So Q never falls, and no component or
-community is gathered in a task. Refinement merges well-connected singletons within each community in such
+A level is local moving, refinement and contraction. Moves are evaluated for all nodes at once; those are made
+together that no stronger move runs counter to, so no two nodes swap. If Q doesn't rise by that, only moves are
+made that touch no community of another, whose gains add up exactly. So Q never falls, and no component
+or community is gathered in a task. Refinement merges well-connected singletons within each community in such
 rounds too, choosing among options by weight with a seeded draw. All draws hang on ids, level, round and seed.
 
 ``randomness`` is the exponent on an option's share of the gains: 0 draws evenly, a large value takes the best.
@@ -23,7 +23,7 @@ from loomgraph.sessions import cut
 
 TINY = 1e-9
 MOVE_ROUNDS = 24
-REFINE_ROUNDS = 6
+REFINE_ROUNDS = 3
 LEVELS = 20
 
 
@@ -51,7 +51,7 @@ def start(edges: DataFrame, gamma: float, objective: quality.Objective = quality
     edges = cut(edges, "edges")
     ids = cut(graph.vertices(edges) if ids is None else ids, "vertices")
     g = objective.scaled(gamma, graph.totals(edges).first()["total_edge_weight"])
-    own = partitions.singlets(ids) if labels is None else labels.select("id", "pid")
+    own = partitions.singlets(ids) if labels is None else partitions.canonical(labels.select("id", "pid"))
     if labels is not None and not ids.join(own, "id", "left_anti").isEmpty():
         raise ValueError("the partition doesn't cover every vertex")
     nodes = objective.node_sizes(edges, ids).join(own, "id").select("id", "weight", "pid")
@@ -71,32 +71,38 @@ def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     return named.join(least, "pid").select("id", "weight", F.col("_least").alias("pid"))
 
 
+def _open(gains: DataFrame, salt: int) -> DataFrame:
+    """(id, target, open, alone): which moves can be made at once.
+
+    A move's priority is its gain, then a seeded hash. ``open``: nothing of higher priority leaves the target or
+    enters the community that is left. ``alone``: no other move touches either, so the gains of all such moves
+    add up exactly.
+    """
+    moves = gains.select("id", "own", "target", F.struct("gain", F.xxhash64("id", F.lit(salt)).alias("tie"), "id").alias("first"))
+    leaving = moves.groupBy(F.col("own").alias("pid")).agg(F.max("first").alias("out"))
+    entering = moves.filter("target is not null").groupBy(F.col("target").alias("pid")).agg(F.max("first").alias("into"))
+    touched = leaving.join(entering, "pid", "full")
+    here = touched.select(F.col("pid").alias("own"), F.col("into").alias("own_into"), F.greatest("out", "into").alias("own_top"))
+    there = touched.select(F.col("pid").alias("target"), F.col("out").alias("target_out"), F.greatest("out", "into").alias("target_top"))
+    both = moves.join(here, "own", "left").join(there, "target", "left")
+    top = lambda c: F.col(c).isNull() | (F.col("first") >= F.col(c))
+    return both.select("id", "target", (top("own_into") & top("target_out")).alias("open"), (top("own_top") & top("target_top")).alias("alone"))
+
+
 def move_nodes(level: Level, rounds: int = MOVE_ROUNDS) -> Level:
-    """Rounds of moves until none of either side gains."""
-    level = replace(level, nodes=cut(_moved(level.nodes, level.nodes.select("id", F.col("pid").alias("target")).filter("false")), "nodes"))
-    now, idle = level.quality(), 0
+    """Rounds of moves until none gains: all open ones if that raises Q, else those that touch nothing of each other."""
+    now = level.quality()
     for turn in range(rounds):
-        salt = _salt(level, turn)
-        side = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2))  # noqa: E731, B023
         gains = quality.best_moves(level.edges, level.nodes, level.g).filter(F.col("gain") > TINY)
-        open_ = (side("own") == 0) & (F.col("target").isNull() | (side("target") == 1))
-        moves = cut(gains.withColumn("open", open_), "moves")
-        counts = moves.agg(F.count("*"), F.sum(F.col("open").cast("long"))).first()
-        if not counts[0]:
+        moves = cut(_open(cut(gains, "gains"), _salt(level, turn)), "moves")
+        if moves.isEmpty():
             break
-        share, taken = 1, moves.filter("open")
-        better = False
-        while counts[1] and share <= 64:
-            trial = replace(level, nodes=cut(_moved(level.nodes, taken), "nodes"))
+        trial = replace(level, nodes=cut(_moved(level.nodes, moves.filter("open")), "nodes"))
+        then = trial.quality()
+        if then <= now + TINY:
+            trial = replace(level, nodes=cut(_moved(level.nodes, moves.filter("alone")), "nodes"))
             then = trial.quality()
-            if then > now + TINY:
-                level, now, better = trial, then, True
-                break
-            share *= 2
-            taken = moves.filter("open").filter(F.pmod(F.xxhash64("id", F.lit(salt + share)), F.lit(share)) == 0)
-        idle = 0 if better else idle + 1
-        if idle >= 6:
-            break
+        level, now = trial, then
     return level
 
 
@@ -111,16 +117,19 @@ def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -
     two = base.select(F.col("id").alias("dst"), F.col("super").alias("s2"))
     inner = cut(level.edges.join(one, "src").join(two, "dst").filter("s1 = s2").select("src", "dst", "weight"), "inner")
     now = base.select("id", "weight", "super", F.col("id").alias("pid"))
-    seen = steady.filter("false")
     for turn in range(rounds):
         salt = _salt(level, 5000 + turn)
         coin = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2))  # noqa: E731, B023
-        alone = now.groupBy("pid").agg(F.count("*").alias("_n")).filter("_n = 1").select(F.col("pid").alias("id"))
-        turn_of = (coin("id") == 0) if turn < rounds - 1 else F.lit(True)
-        movers = steady.join(alone, "id", "left_semi").join(seen, "id", "left_anti").filter(turn_of)
-        hosts = quality.well_connected_communities(inner, now, level.g)
+        counts = now.groupBy("pid").agg(F.count("*").alias("_n"))
+        alone = counts.filter("_n = 1").select(F.col("pid").alias("id"))
+        turn_of = coin("id") == 0
+        for earlier in range(turn):
+            turn_of = turn_of & (F.pmod(F.xxhash64("id", F.lit(_salt(level, 5000 + earlier))), F.lit(2)) == 1)
+        movers = steady.join(alone, "id", "left_semi").filter(turn_of)
+        still = counts.filter((F.col("_n") > 1) | (coin("pid") == 1)).select("pid")
+        hosts = quality.well_connected_communities(inner, now, level.g).join(still, "pid", "left_semi")
         options = quality.contributions(inner, now.select("id", "weight", "pid"), level.g).filter("pid <> own").withColumn("gain", F.col("contrib") + F.col("loss")).filter(F.col("gain") > 0)
-        options = options.join(movers, "id", "left_semi").join(hosts, "pid", "left_semi").filter((coin("own") == 0) & (coin("pid") == 1))
+        options = options.join(movers, "id", "left_semi").join(hosts, "pid", "left_semi")
         total = options.groupBy("id").agg(F.sum("gain").alias("_total"))
         u = (F.pmod(F.xxhash64("id", "pid", F.lit(salt)), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
         draw = F.log(u) / F.pow(F.col("gain") / F.col("_total"), F.lit(float(randomness)))
@@ -129,7 +138,6 @@ def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -
         now = now.join(choice, "id", "left").select("id", "weight", "super", F.coalesce("target", "pid").alias("pid"))
         least = now.groupBy("pid").agg(F.min("id").alias("_least"))
         now = cut(now.join(least, "pid").select("id", "weight", "super", F.col("_least").alias("pid")), "refined")
-        seen = cut(seen.union(movers.filter(coin("id") == 0)).distinct(), "seen")
     return now.select("id", F.col("pid").alias("refined"))
 
 
