@@ -147,18 +147,20 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, fit_on: Column, limit: int, id: str, text: str) -> DataFrame:
-    """(_text, _label) of at most ``limit`` labelled rows, the first by a hash of their id."""
+    """(_text, _label) of at most ``limit`` labelled ids, the first by a hash; of texts that share an id the smallest."""
     order = F.xxhash64(F.col(id), F.lit(17))
     chosen = labels.filter(fit_on & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).alias("_label"))
     chosen = chosen.orderBy(order, id).limit(limit)  # the sample's documented bound, so it may be broadcast
-    return documents.select(id, F.col(text).alias("_text")).join(F.broadcast(chosen), id).select("_text", F.col("_label").cast("int"))
+    found = documents.select(id, F.col(text).alias("_text")).join(F.broadcast(chosen), id)
+    once = found.groupBy(id).agg(F.min("_text").alias("_text"), F.max("_label").cast("int").alias("_label"))  # rows may repeat an id
+    return once.select("_text", "_label")
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fit_on: Column | None = None, max_labels: int = MAX_LABELS, id: str = "doc_id", text: str = "text", rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
     """A model of at most ``max_labels`` labelled texts; only their term vectors reach the driver."""
     chosen = sample(documents, labels, label, F.lit(True) if fit_on is None else fit_on, max_labels, id, text)
     rows = chosen.mapInArrow(_terms, "label int, terms binary").toPandas()
-    rows = rows.sort_values(["terms", "label"]).reset_index(drop=True).head(2 * max_labels)
+    rows = rows.sort_values(["terms", "label"]).reset_index(drop=True)
     terms = np.frombuffer(b"".join(rows["terms"]), np.float32).reshape(-1, TERMS)
     return fit_terms(terms, rows["label"].to_numpy(), rank, neighbours)
 

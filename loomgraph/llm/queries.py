@@ -122,7 +122,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remainder(of: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+    """Of the id's checksum; -1 for a row without an id, which is in no fold and held out of none."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)), F.lit(-1))
 
 
 @_query("op6_quality")

@@ -77,16 +77,18 @@ def update(versions: DataFrame, text: str = "text", ledger: DataFrame | None = N
     return found.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
-def scan(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """The rows with ``blob`` and ``spans``, and the ledger to keep for the next run.
+def scan(
+    versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION, blob: str = "blob", spans: str = "spans"
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``blob`` and ``spans``, in place of columns of these names, and the ledger to keep for the next run.
 
     Only blobs with findings take part in the join back; the rest get an empty array.
     """
     fresh = cut(update(versions, text, ledger, rule_version), "ledger")
     whole = fresh if ledger is None else ledger.unionByName(fresh)
-    hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", F.col("spans").alias("_found"))
-    rows = versions.drop("blob", "spans").withColumn("blob", blob_of(text)).join(hits, "blob", "left")
-    return rows.withColumn("spans", F.coalesce("_found", F.array().cast(SPANS))).drop("_found"), whole
+    hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    rows = versions.withColumn(blob, blob_of(text)).drop(spans).join(hits, blob, "left")
+    return rows.withColumn(spans, F.coalesce(spans, F.array().cast(SPANS))), whole
 
 
 def joined(spans, kinds: tuple[str, ...]):
