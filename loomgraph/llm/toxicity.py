@@ -5,9 +5,9 @@ corrected by the class prior p: risk = p R+(P) + max(0, R-(U) - p R-(P)). When t
 negative, the step goes against it, so the fit cannot run it down by memorising. The positives, the unlabelled
 texts and the prior come from bounded samples; the label of an unlabelled text is never looked at.
 
-Terms are hashed lower-cased words and their first ``STEM`` bytes, ASCII punctuation apart, present or not. Those that
-set positives apart from unlabelled texts are kept, ``TERMS`` at most; a few classifiers on different draws are
-averaged. Scoring is one pass without a shuffle; the model broadcast is ``TERMS`` numbers.
+Terms are hashed lower-cased words, their first ``STEM`` bytes, and stems that 2, 3 or 4 different words of the
+text share, ASCII punctuation apart, present or not. Those that set positives apart from unlabelled texts are
+kept, ``TERMS`` at most; a few classifiers on different draws are averaged. Scoring is one pass without a shuffle; the model broadcast is ``TERMS`` numbers.
 
 Defined results: a null or empty text has no terms and gets the bias' score; without positives every score
 is 0; repeated texts get equal scores; an empty table gives no rows.
@@ -33,6 +33,7 @@ TERMS = 512
 CLASSIFIERS = 3
 STEPS = 250
 STEM = 6
+FAMILIES = (2, 3, 4)
 _STRIPPED = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
@@ -44,15 +45,20 @@ def plain(text: Column) -> Column:
 def document_terms(part: words.Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term numbers of each document, one after the other, and where each document begins."""
     doc = part.doc_of_word().astype(np.int64)
-    long_ = np.flatnonzero(part.ends - part.starts >= STEM)
-    stems = np.zeros(len(long_), np.uint64)
+    spread = lambda x: (x % np.uint64(SPACE)).astype(np.int64)
+    single, at = np.unique(doc * SPACE + spread(part.hashes), return_index=True)
+    at = at[part.ends[at] - part.starts[at] >= STEM]
+    stems = np.zeros(len(at), np.uint64)
     for k in range(STEM):
-        byte = part.data[part.starts[long_] + k].astype(np.uint64)
+        byte = part.data[part.starts[at] + k].astype(np.uint64)
         stems = stems << np.uint64(8) | np.where((byte > 64) & (byte < 91), byte + np.uint64(32), byte)
-    stems = words.mix(stems ^ np.uint64(0x57E4))
-    terms = np.concatenate([part.hashes, stems]) % np.uint64(SPACE)
-    both = np.unique(np.concatenate([doc, doc[long_]]) * SPACE + terms.astype(np.int64))
-    return both % SPACE, np.searchsorted(both, np.arange(part.docs + 1) * SPACE)
+    stemmed, first, count = np.unique(doc[at] * SPACE + spread(words.mix(stems ^ np.uint64(0x57E4))), return_index=True, return_counts=True)
+    found = [single, stemmed]
+    for least in FAMILIES:  # stems that several words of the document share are terms of their own
+        some = first[count >= least]
+        found.append(doc[at[some]] * SPACE + spread(words.mix(stems[some] ^ np.uint64(0x57E4 + least))))
+    every = np.unique(np.concatenate(found))
+    return every % SPACE, np.searchsorted(every, np.arange(part.docs + 1) * SPACE)
 
 
 @dataclass
@@ -150,9 +156,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_on: C
     prior = min(max(share or 0.0, 1e-3), 0.5) if prior is None else prior
     order = F.xxhash64(F.col(id), F.lit(29))
     confirmed = usable.filter(F.col(label) == 1).select(id).distinct().orderBy(order, id).limit(max_positives).withColumn("_positive", F.lit(1))
-    anyone = documents.filter(F.col(id).isNotNull()).select(id).orderBy(order, id).limit(max_unlabelled).distinct().withColumn("_positive", F.lit(0))
+    anyone = documents.filter(F.col(id).isNotNull()).select(id).distinct().orderBy(order, id).limit(max_unlabelled).withColumn("_positive", F.lit(0))
     chosen = confirmed.unionByName(anyone)  # both limits are documented parameters, so this may be broadcast
-    rows = documents.select(id, plain(F.col(text)).alias("_text")).join(F.broadcast(chosen), id).select("_text", "_positive")
+    rows = documents.select(id, plain(F.col(text)).alias("_text")).join(F.broadcast(chosen), id)
+    rows = rows.groupBy(id, "_positive").agg(F.min("_text").alias("_text")).select("_text", "_positive")  # rows may repeat an id
     found = rows.mapInArrow(_numbers, "positive int, numbers array<int>").toPandas()
     pick = lambda flag: sorted((np.asarray(x, np.int64) for x in found.loc[found["positive"] == flag, "numbers"]), key=lambda x: x.tobytes())
     return fit_rows(pick(1), pick(0), prior)
