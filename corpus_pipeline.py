@@ -20,12 +20,21 @@ from loomgraph.sessions import fresh_path
 MIN_QUALITY = 0.5
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on the labels outside the held-out third, like the operator's own query."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     model = quality.fit(docs, labels, "quality", learn)
-    return quality.score(docs, model, into="_score").filter(F.col("_score") >= MIN_QUALITY).select(*docs.columns)
+    own = _free("score", docs)
+    return quality.score(docs, model, into=own).filter(F.col(own) >= MIN_QUALITY).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +46,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _ = secrets.scan(docs)
-    masked = rows.withColumn("text", secrets.redacted())
-    changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    blob, spans = _free("blob", docs), _free("spans", docs)
+    rows, _ = secrets.scan(docs, blob=blob, spans=spans)
+    masked = rows.withColumn("text", secrets.redacted(spans=spans))
+    changed = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return masked.withColumn("n_chars", changed).select(*docs.columns)
 
 
