@@ -107,7 +107,7 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(n, np.uint64)
     for j in range(k):
         part = np.zeros(n, np.uint64)
-        part[: n - j] = h[j:]
+        part[: max(n - j, 0)] = h[j:]
         rolled = mix(rolled * np.uint64(3) + part + np.uint64(j + 1))
     runs = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     first = np.concatenate([[0], np.cumsum(runs)])
