@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from loomgraph.sessions import cut
 
 BLOCK = 1024
 MAX_SOURCES = 500_000
+BROADCAST_SOURCES = 50_000
+BROADCAST_NAMES = 8_000_000
 TINY = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -106,14 +108,14 @@ def land(sizes: list[float], chances: list[float]) -> list[float]:
 
 
 def _flight(seed: int):
-    def one_block(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "order", "id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
-        key = [seed, *(int(group[c].iloc[0]) for c in ("level", "source_no", "block"))]
-        sizes = group["size"].astype(float).tolist()
-        chances = fly(sizes, group["chance"].tolist(), np.random.default_rng(key))
-        if bool(group["last"].iloc[0]):
+    def one_block(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("size", "descending"), ("order", "ascending"), ("id", "ascending"), ("chance", "ascending")])
+        key = [seed, *(group[c][0].as_py() for c in ("level", "source_no", "block"))]
+        sizes = group["size"].cast(pa.float64()).to_pylist()
+        chances = fly(sizes, group["chance"].to_pylist(), np.random.default_rng(key))
+        if group["last"][0].as_py():
             chances = land(sizes, chances)
-        return group.assign(chance=chances)[["id", "source_no", "size", "chance"]]
+        return group.select(["id", "source_no", "size"]).append_column("chance", pa.array(chances, pa.float64()))
 
     return one_block
 
@@ -129,6 +131,7 @@ def choose(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
             break
         blocks = {s: math.ceil(n / block) for s, n in counts.items()}
         table = spark.createDataFrame(list(blocks.items()), "source_no int, blocks int")
+        table = F.broadcast(table) if len(blocks) <= BROADCAST_SOURCES else table
         order = F.xxhash64(F.lit(seed), F.lit(level), "id", "size")
         dealt = rest.join(table, "source_no").select(
             "id", "source_no", "size", "chance",
@@ -136,7 +139,7 @@ def choose(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
             F.pmod(order, F.col("blocks")).cast("int").alias("block"), (F.col("blocks") == 1).alias("last"),
         )
         done = cut(
-            dealt.groupBy("source_no", "block").applyInPandas(_flight(seed), f"id {kind}, source_no int, size long, chance double"),
+            dealt.groupBy("source_no", "block").applyInArrow(_flight(seed), f"id {kind}, source_no int, size long, chance double"),
             f"flight{level}",
         )
         settled = (F.col("chance") == 0) | (F.col("chance") == 1)
@@ -180,6 +183,8 @@ def blend(
         whole = round(each) if abs(each - round(each)) < TINY else math.floor(each)
         plan.append((r["source"], i, r["size"], aim, whole, max(0.0, each - whole)))
     table = spark.createDataFrame(plan, "source string, source_no int, source_size long, target double, whole int, chance double")
+    if len(plan) <= BROADCAST_SOURCES and sum(len(r["source"] or "") for r in known) <= BROADCAST_NAMES:
+        table = F.broadcast(table)  # a hot source then moves nowhere; a larger table is joined by shuffle
     units = sized.withColumnRenamed("source", "own").join(table, F.col("own").eqNullSafe(F.col("source")))
     open_ = (F.col("chance") > TINY) & (F.col("size") > 0)
     drawn = choose(units.filter(open_).select("id", "source_no", "size", "chance"), seed, block)
