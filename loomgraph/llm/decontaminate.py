@@ -10,8 +10,9 @@ and the best run of the alignment has to reach ``LEAST``, or the whole item wher
 Items shorter than the shortest mask are hashed whole, at their own length.
 
 Defined results: null or empty texts and items overlap with nothing; repeated items each report their own
-overlap; rows of equal id report an equal overlap once; empty tables give no rows. Words are runs of other than
-ASCII white space, A-Z lower-cased.
+overlap; rows of equal id report an equal overlap once; rows without an id report theirs under a null, and
+``remove`` keeps them, as nothing says which of them is meant; empty tables give no rows. Words are runs of other
+than ASCII white space, A-Z lower-cased.
 """
 
 from __future__ import annotations

@@ -20,8 +20,8 @@ The hub of a family of any size is spread over many blocks. What remains quadrat
 that hold classes outside a large family's main component, times the number of its blocks.
 
 Defined results: a null or empty text has an empty set, links with nothing and is kept; repeated rows and
-ids are copies; an empty table gives no rows; null ids are refused by Spark's own minimum, so such rows keep
-to themselves as one class of null id.
+ids are copies; an empty table gives no rows; rows without an id link with nothing, have a null component and
+are kept, unless an identical text has an id: then they are copies of that one.
 """
 
 from __future__ import annotations

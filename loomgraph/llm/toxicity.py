@@ -10,7 +10,8 @@ text share, ASCII punctuation apart, present or not. Those that set positives ap
 kept, ``TERMS`` at most; a few classifiers on different draws are averaged. Scoring is one pass without a shuffle; the model broadcast is ``TERMS`` numbers.
 
 Defined results: a null or empty text has no terms and gets the bias' score; without positives every score
-is 0; repeated texts get equal scores; an empty table gives no rows.
+is 0; repeated texts get equal scores; rows without an id are scored but
+never learnt from; an empty table gives no rows. A column named like the score is replaced, others are kept.
 """
 
 from __future__ import annotations
