@@ -23,7 +23,7 @@ from loomgraph.sessions import cut
 
 TINY = 1e-9
 MOVE_ROUNDS = 24
-REFINE_ROUNDS = 3
+REFINE_ROUNDS = 4
 LEVELS = 20
 
 
@@ -109,7 +109,8 @@ def move_nodes(level: Level, rounds: int = MOVE_ROUNDS) -> Level:
 def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -> DataFrame:
     """(id, refined): well-connected singletons merged into well-connected subcommunities of their community.
 
-    A node is looked at once: when its coin falls on the moving side. Nodes are named by a community's smallest id.
+    In each round a seeded coin says which singletons may move and which may be joined, so two never swap; one that
+    found its partners on the moving side too has another chance in the next. Nodes are named by a community's smallest id.
     """
     base = cut(level.nodes.select("id", "weight", F.col("pid").alias("super")), "super")
     steady = cut(quality.well_connected_nodes(level.edges, base, level.g), "steady")
@@ -122,10 +123,7 @@ def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -
         coin = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2))  # noqa: E731, B023
         counts = now.groupBy("pid").agg(F.count("*").alias("_n"))
         alone = counts.filter("_n = 1").select(F.col("pid").alias("id"))
-        turn_of = coin("id") == 0
-        for earlier in range(turn):
-            turn_of = turn_of & (F.pmod(F.xxhash64("id", F.lit(_salt(level, 5000 + earlier))), F.lit(2)) == 1)
-        movers = steady.join(alone, "id", "left_semi").filter(turn_of)
+        movers = steady.join(alone, "id", "left_semi").filter(coin("id") == 0)
         still = counts.filter((F.col("_n") > 1) | (coin("pid") == 1)).select("pid")
         hosts = quality.well_connected_communities(inner, now, level.g).join(still, "pid", "left_semi")
         options = quality.contributions(inner, now.select("id", "weight", "pid"), level.g).filter("pid <> own").withColumn("gain", F.col("contrib") + F.col("loss")).filter(F.col("gain") > 0)
