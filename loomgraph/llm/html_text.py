@@ -336,6 +336,10 @@ def templates(count: int = 240, seed: int = 5) -> Iterator[str]:
             out.append(" ".join(rng.choice(words, rng.integers(lo, hi))).capitalize() + rng.choice([".", ", and.", "!", "?"]))
         return " ".join(out)
 
+    def heading(most: int) -> str:
+        """One word up to ``most``, at times with a full stop: real headings and paragraphs can be as short as that."""
+        return " ".join(rng.choice(words, rng.integers(1, most + 1))).capitalize() + pick("", "", ".")
+
     def links(n: int, tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{w}">{w}</a></{tag}>' for w in rng.choice(words, n))
 
@@ -353,9 +357,9 @@ def templates(count: int = 240, seed: int = 5) -> Iterator[str]:
             body.append(f'<div class="part-rest {pick("cookie-notice", "notice", "consent-banner", "alert")}" role="dialog"><p>{prose(5, 12)}</p></X>')
         blocks = []
         if rng.random() < 0.9:
-            blocks.append(f"<h1>{' '.join(rng.choice(words, 6))}</h1>")
+            blocks.append(f"<h1>{heading(7)}</h1>")
         for _ in range(int(rng.integers(1, 9))):
-            blocks.append(pick(f"<p>{prose(3, 25)}</p>", f"<p>{prose(6, 30)}</p>", f"<p><b>{prose(4, 12)}<br><p>{prose(5, 25)}</p>", f"<h2>{' '.join(rng.choice(words, 4))}</h2><p>{prose(5, 20)}</p>", f"<ul><li>{prose(3, 9)}</li><li>{prose(3, 9)}</li></ul>", f'<p>{prose(6, 20)} <a href="/x">{pick(*words)}</a> {prose(4, 9)}</p>', f"<blockquote>{prose(4, 15)}</blockquote>"))
+            blocks.append(pick(f"<p>{prose(3, 25)}</p>", f"<p>{prose(6, 30)}</p>", f"<p><b>{prose(4, 12)}<br><p>{prose(5, 25)}</p>", f"<h2>{heading(5)}</h2><p>{prose(5, 20)}</p>", f"<p>{heading(3)}</p>", f"<ul><li>{prose(3, 9)}</li><li>{prose(3, 9)}</li></ul>", f'<p>{prose(6, 20)} <a href="/x">{pick(*words)}</a> {prose(4, 9)}</p>', f"<blockquote>{prose(4, 15)}</blockquote>"))
         inner = "".join(blocks)
         if rng.random() < 0.25:
             at = inner.rfind("<p>")
