@@ -12,7 +12,7 @@ Items shorter than the shortest mask are hashed whole, at their own length.
 Defined results: null or empty texts and items overlap with nothing; repeated items each report their own
 overlap; rows of equal id report an equal overlap once; rows without an id report theirs under a null, and
 ``remove`` keeps them, as nothing says which of them is meant; empty tables give no rows. Words are runs of other
-than ASCII white space, A-Z lower-cased.
+than ASCII white space in the lower-cased text, so a passage in capitals, with or without accents, is found too.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def item_words(benchmark: DataFrame, item: str, text: str) -> DataFrame:
                 lists = [part.hashes[a:b].view(np.int64) for a, b in zip(part.first[:-1], part.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.docs), pa.array(lists, _LONGS)], names=["item", "item_words"])
 
-    return benchmark.select(F.col(item).alias("item"), text).mapInArrow(split, f"item {benchmark.schema[item].dataType.simpleString()}, item_words array<long>")
+    return benchmark.select(F.col(item).alias("item"), F.lower(text).alias("_text")).mapInArrow(split, f"item {benchmark.schema[item].dataType.simpleString()}, item_words array<long>")
 
 
 def item_seeds(items: DataFrame, masks: tuple[str, ...], short: list[int]) -> DataFrame:
@@ -189,7 +189,7 @@ def overlaps(
     short = sorted(r["n"] for r in items.select(F.size("item_words").alias("n")).filter(F.col("n") < shortest).distinct().collect())
     seeds = cut(item_seeds(items, masks, short), "seeds")
     bits = sc.broadcast(bit_table(seeds))
-    kept = _segments(documents.select(F.col(id).alias("id"), F.col(text).alias("_text")), bits, masks, short)
+    kept = _segments(documents.select(F.col(id).alias("id"), F.lower(text).alias("_text")), bits, masks, short)
     kept = cut(kept.withColumn("segment", F.monotonically_increasing_id()), "segments")
     hits = kept.select("segment", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("segment", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     pairs = hits.join(seeds, "seed").select("segment", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()

@@ -269,7 +269,7 @@ def test_ledger_scans_a_blob_once_for_each_rule_version(spark):
 
 def test_overlaps_bear_replaced_words(spark):
     rng = random.Random(8)
-    vocabulary = [f"v{i}" for i in range(5000)]
+    vocabulary = [f"vé{i}" for i in range(5000)]
     items = [(i, " ".join(rng.choices(vocabulary, k=40))) for i in range(30)]
     docs = []
     for i, text in items:
@@ -277,10 +277,11 @@ def test_overlaps_bear_replaced_words(spark):
         for at in range(5, 40, 7):
             own[at] = "other"
         docs.append((i, " ".join(rng.choices(vocabulary, k=50) + own + rng.choices(vocabulary, k=50))))
+        docs.append((500 + i, f"Vorher ÉTÉ {text} nachher".upper()))
         docs.append((1000 + i, " ".join(rng.choices(vocabulary, k=140))))
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(frame, bench).collect()}
-    assert got == {(i, i) for i, _ in items}
+    assert got == {(i, i) for i, _ in items} | {(500 + i, i) for i, _ in items}
     assert {r["doc_id"] for r in decontaminate.remove(frame, bench).collect()} == {1000 + i for i, _ in items}
 
 
