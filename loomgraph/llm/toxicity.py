@@ -86,6 +86,7 @@ class Model:
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk with the sigmoid loss, by Adam."""
+    positive, unlabelled = positive.astype(np.float64), unlabelled.astype(np.float64)  # once, not in every product
     rng = np.random.default_rng(seed)
     w = rng.normal(0, 0.01, positive.shape[1])
     b = -1.0
