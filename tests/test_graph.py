@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def test_crossing_edges_keep_rows_and_columns(spark):
 
 
 def test_unsigned_ids_and_random_edges(spark):
-    big = spark.createDataFrame([(2**64 - 1, 1)], "umi1 decimal(20,0), umi2 decimal(20,0)")
+    big = spark.createDataFrame([(Decimal(2**64 - 1), Decimal(1))], "umi1 decimal(20,0), umi2 decimal(20,0)")
     assert sources.narrow_ids(big).dtypes[0][1] == "decimal(20,0)"
     assert sources.narrow_ids(big.filter("umi1 < 5")).dtypes[0][1] == "bigint"
     drawn = sources.random_edges(spark, 10, 200, 4)
