@@ -42,7 +42,7 @@ _PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
 }
 _GATES = {"email": "@", "ip": None, "card": None, "phone": "+", "national": None, "ssn": "-", "iban": None}
-_GATE_PATTERNS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}", "national": r"[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}"}
+_GATE_PATTERNS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "national": r"[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}"}
 # Words that stand before personal data of a kind, and words that stand before other numbers.
 _BEFORE = {
     "email": "e-?mail|mail|contact|write|reach|correo|courriel|kontakt",

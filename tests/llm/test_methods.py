@@ -320,6 +320,15 @@ def test_tricky_personal_data(spark):
     assert got == {n: personal(t) for n, t in enumerate(texts)}
 
 
+def test_cards_of_parted_digits(spark):
+    from tests.llm.test_queries import personal
+
+    texts = [sep.join("4111111111111111") for sep in (" ", "-")] + ["pay 4 1 1 1-1 1 1 1 1 1 1 1 1 1 1 1 now"]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).orderBy("n").collect()
+    got = [[(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in pii.BASE_KINDS] for r in found]
+    assert got == [personal(t) for t in texts] and all(x[0][0] == "card" for x in got)
+
+
 def test_reliabilities_tell_a_good_labeler_from_a_coin():
     rng = random.Random(11)
     counts: dict = {}
