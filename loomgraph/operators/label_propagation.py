@@ -2,8 +2,8 @@
 
 Every vertex takes the label most frequent among its distinct neighbours, weights ignored, a self-loop
 making it a neighbour of its own. Only vertices with a changed neighbour are looked at again. In a round
-a seeded half of them moves, so two sides of a bipartite graph cannot swap labels for ever; ties go to
-the label with the least seeded hash. An epoch ends by splitting labels into their connected parts.
+a seeded half of them moves, so two sides of a bipartite graph cannot swap labels for ever. In a tie a
+vertex keeps its label if it is among the most frequent, so rounds come to an end; else a seeded hash decides. An epoch ends by splitting labels into their connected parts.
 All draws hang on ids, seed and round, so results don't depend on the partitioning.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators import graph, partitions
 from loomgraph.sessions import cut, drop_table
 
-MAX_ROUNDS = 60
+#: A safety limit: an epoch ends when no vertex is active, and raises if it gets this far.
+MAX_ROUNDS = 10_000
 
 
 class Assignment(Protocol):
@@ -27,10 +28,11 @@ class Assignment(Protocol):
 
 
 def neighbour_mode(adj: DataFrame, labels: DataFrame, active: DataFrame, salt: int) -> DataFrame:
-    """The most frequent label, the one of least hash among equally frequent ones."""
-    near = adj.join(active.withColumnRenamed("id", "src"), "src", "left_semi").join(labels.withColumnRenamed("id", "dst"), "dst")
-    counted = near.groupBy(F.col("src").alias("id"), "pid").agg(F.count("*").alias("n"))
-    best = counted.groupBy("id").agg(F.max(F.struct("n", F.xxhash64("id", "pid", F.lit(salt)).alias("_tie"), "pid")).alias("_best"))
+    """The most frequent label; among equally frequent ones the vertex's own, then the one of greatest hash."""
+    own = labels.join(active, "id", "left_semi").select(F.col("id").alias("src"), F.col("pid").alias("_own"))
+    near = adj.join(own, "src").join(labels.withColumnRenamed("id", "dst"), "dst")
+    counted = near.groupBy(F.col("src").alias("id"), "pid").agg(F.count("*").alias("n"), F.first("_own").alias("_own"))
+    best = counted.groupBy("id").agg(F.max(F.struct("n", (F.col("pid") == F.col("_own")).alias("_keeps"), F.xxhash64("id", "pid", F.lit(salt)).alias("_tie"), "pid")).alias("_best"))
     return best.select("id", F.col("_best.pid").alias("new"))
 
 
@@ -52,7 +54,7 @@ def synchronous_rounds(edges: DataFrame, labels: DataFrame, rounds: int) -> Data
 
 
 def epoch(edges: DataFrame, labels: DataFrame, seed: int = 0, number: int = 0, assign: Assignment = neighbour_mode, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Rounds until no vertex is active, or ``max_rounds``; then labels are split into connected parts."""
+    """Rounds until no vertex is active; then labels are split into connected parts. ``max_rounds`` without an end is an error."""
     adj = cut(graph.adjacency(edges).select("src", "dst"), "adjacency")
     now = cut(labels, "labels")
     active = now.select("id")
@@ -69,6 +71,8 @@ def epoch(edges: DataFrame, labels: DataFrame, seed: int = 0, number: int = 0, a
         now = cut(partitions.update(now, changed), "labels")
         if active.isEmpty():
             break
+    else:
+        raise RuntimeError(f"vertices are active after {max_rounds} rounds")
     out = partitions.split_disconnected(edges, now)
     drop_table(adj)
     return out

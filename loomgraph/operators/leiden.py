@@ -12,6 +12,7 @@ rounds too, choosing among options by weight with a seeded draw. All draws hang
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,10 @@ from loomgraph.operators.components import connected_components
 from loomgraph.sessions import cut
 
 TINY = 1e-9
-MOVE_ROUNDS = 24
-REFINE_ROUNDS = 4
-LEVELS = 20
+#: Safety limits: loops end where nothing is left to do, and raise if they get this far.
+MOVE_ROUNDS = 10_000
+REFINE_ROUNDS = 1_000
+LEVELS = 1_000
 
 
 @dataclass(frozen=True)
@@ -90,27 +92,30 @@ def _open(gains: DataFrame, salt: int) -> DataFrame:
 
 
 def move_nodes(level: Level, rounds: int = MOVE_ROUNDS) -> Level:
-    """Rounds of moves until none gains: all open ones if that raises Q, else those that touch nothing of each other."""
+    """Rounds of moves until none gains: all open ones if that raises Q, else those that touch nothing of each other.
+
+    Of the latter there is always one, the move of highest priority, so Q rises in every round.
+    """
     now = level.quality()
     for turn in range(rounds):
         gains = quality.best_moves(level.edges, level.nodes, level.g).filter(F.col("gain") > TINY)
         moves = cut(_open(cut(gains, "gains"), _salt(level, turn)), "moves")
         if moves.isEmpty():
-            break
+            return level
         trial = replace(level, nodes=cut(_moved(level.nodes, moves.filter("open")), "nodes"))
         then = trial.quality()
         if then <= now + TINY:
             trial = replace(level, nodes=cut(_moved(level.nodes, moves.filter("alone")), "nodes"))
             then = trial.quality()
         level, now = trial, then
-    return level
+    raise RuntimeError(f"moves that gain are left after {rounds} rounds")
 
 
 def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -> DataFrame:
     """(id, refined): well-connected singletons merged into well-connected subcommunities of their community.
 
-    In each round a seeded coin says which singletons may move and which may be joined, so two never swap; one that
-    found its partners on the moving side too has another chance in the next. Nodes are named by a community's smallest id.
+    In each round a seeded coin says which singletons may move and which may be joined, so two never swap. Rounds
+    end when no singleton has an eligible community to join. Nodes are named by a community's smallest id.
     """
     base = cut(level.nodes.select("id", "weight", F.col("pid").alias("super")), "super")
     steady = cut(quality.well_connected_nodes(level.edges, base, level.g), "steady")
@@ -123,11 +128,14 @@ def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -
         coin = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2))  # noqa: E731, B023
         counts = now.groupBy("pid").agg(F.count("*").alias("_n"))
         alone = counts.filter("_n = 1").select(F.col("pid").alias("id"))
-        movers = steady.join(alone, "id", "left_semi").filter(coin("id") == 0)
-        still = counts.filter((F.col("_n") > 1) | (coin("pid") == 1)).select("pid")
-        hosts = quality.well_connected_communities(inner, now, level.g).join(still, "pid", "left_semi")
+        movers = steady.join(alone, "id", "left_semi")
+        hosts = quality.well_connected_communities(inner, now, level.g)
         options = quality.contributions(inner, now.select("id", "weight", "pid"), level.g).filter("pid <> own").withColumn("gain", F.col("contrib") + F.col("loss")).filter(F.col("gain") > 0)
-        options = options.join(movers, "id", "left_semi").join(hosts, "pid", "left_semi")
+        options = cut(options.join(movers, "id", "left_semi").join(hosts, "pid", "left_semi").select("id", "pid", "gain"), "options")
+        if options.isEmpty():
+            return now.select("id", F.col("pid").alias("refined"))
+        still = counts.filter((F.col("_n") > 1) | (coin("pid") == 1)).select("pid")
+        options = options.filter(coin("id") == 0).join(still, "pid", "left_semi")
         total = options.groupBy("id").agg(F.sum("gain").alias("_total"))
         u = (F.pmod(F.xxhash64("id", "pid", F.lit(salt)), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
         draw = F.log(u) / F.pow(F.col("gain") / F.col("_total"), F.lit(float(randomness)))
@@ -136,7 +144,7 @@ def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -
         now = now.join(choice, "id", "left").select("id", "weight", "super", F.coalesce("target", "pid").alias("pid"))
         least = now.groupBy("pid").agg(F.min("id").alias("_least"))
         now = cut(now.join(least, "pid").select("id", "weight", "super", F.col("_least").alias("pid")), "refined")
-    return now.select("id", F.col("pid").alias("refined"))
+    raise RuntimeError(f"eligible singletons are left after {rounds} rounds")
 
 
 def aggregate(level: Level, refined: DataFrame | None = None) -> Level:
@@ -157,7 +165,11 @@ def leiden(level: Level, randomness: float = 0.1, max_iteration: int | None = No
     if absolute is not None and relative is not None:
         raise ValueError("give an absolute or a relative threshold, not both")
     before = None
-    for _ in range(LEVELS if max_iteration is None else max_iteration):
+    for number in count():
+        if number == max_iteration:
+            break
+        if number == LEVELS:
+            raise RuntimeError(f"no fixed point after {LEVELS} levels")
         level = move_nodes(level)
         n, k = level.nodes.agg(F.count("*"), F.count_distinct("pid")).first()
         if n == k:

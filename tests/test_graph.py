@@ -100,6 +100,35 @@ def test_leiden_finds_the_planted_communities(spark):
     assert groups(level.labels()) == [[0, 1, 2, 3], [4, 5, 6, 7]]
 
 
+def test_refinement_merges_every_eligible_pair(spark):
+    edges = edges_of(spark, [(2 * i, 2 * i + 1) for i in range(64)])
+    pairs = graph.vertices(edges).select("id", F.floor(F.col("id") / 2).alias("pid"))
+    level = leiden.start(edges, 0.2, quality.CPM, pairs, seed=7)
+    refined = leiden.refine(level, randomness=1.0).select("id", F.col("refined").alias("pid"))
+    assert groups(refined) == [[2 * i, 2 * i + 1] for i in range(64)]
+    with pytest.raises(RuntimeError, match="eligible singletons are left"):
+        leiden.refine(level, randomness=1.0, rounds=1)
+
+
+def test_rounds_end_where_nothing_is_left_or_raise(spark):
+    edges = edges_of(spark, TWO_COMMUNITIES)
+    level = leiden.start(edges, 0.5, quality.CPM, seed=1)
+    done = leiden.move_nodes(level)
+    assert quality.best_moves(done.edges, done.nodes, done.g).filter(F.col("gain") > leiden.TINY).isEmpty()
+    with pytest.raises(RuntimeError, match="moves that gain are left"):
+        leiden.move_nodes(level, rounds=1)
+    singlets = partitions.singlets(graph.vertices(edges))
+    with pytest.raises(RuntimeError, match="vertices are active"):
+        label_propagation.epoch(edges, singlets, max_rounds=1)
+
+
+def test_a_tie_keeps_the_label(spark):
+    adj = graph.adjacency(edges_of(spark, [(0, i) for i in range(1, 9)]))
+    labels = spark.createDataFrame([(0, 3), *((i, i) for i in range(1, 9))], "id long, pid long")
+    for salt in range(3):
+        assert rows(label_propagation.neighbour_mode(adj, labels, spark.range(1), salt)) == [(0, 3)]
+
+
 def test_merge_by_threshold(spark):
     weighted = spark.createDataFrame([(0, 1, 6), (1, 2, 6), (0, 2, 15)], "src long, dst long, weight long")
     level = leiden.merge_highly_connected(leiden.start(weighted, 1.0), absolute=10)
