@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,11 @@ from loomgraph.sources import edges as sources
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Edge lists (umi1, umi2): sparse order-part with many small components; customer-supplier, bipartite and weighted;
+# Edge lists (umi1, umi2): sparse order-part with many small components, and whole; customer-supplier, bipartite and weighted;
 # events by user and slot, with self-loops.
 VIEWS = {
     "order_part": "select l_orderkey * 2 as umi1, l_partkey * 2 + 1 as umi2 from lineitem where l_returnflag = 'R' and l_quantity >= 45",
+    "order_part_whole": "select l_orderkey * 2 as umi1, l_partkey * 2 + 1 as umi2 from lineitem",
     "cust_supp": "select o_custkey * 2 as umi1, l_suppkey * 2 + 1 as umi2 from orders join lineitem on o_orderkey = l_orderkey",
     "user_slot": "select user_id as umi1, event_id % 97 as umi2 from events",
 }
@@ -29,6 +32,8 @@ def pairs(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     if view == "order_part":
         kept = read("lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45))
         return kept.select((F.col("l_orderkey") * 2).alias("umi1"), (F.col("l_partkey") * 2 + 1).alias("umi2"))
+    if view == "order_part_whole":
+        return read("lineitem").select((F.col("l_orderkey") * 2).alias("umi1"), (F.col("l_partkey") * 2 + 1).alias("umi2"))
     if view == "cust_supp":
         both = read("orders").join(read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
         return both.select((F.col("o_custkey") * 2).alias("umi1"), (F.col("l_suppkey") * 2 + 1).alias("umi2"))
@@ -68,10 +73,16 @@ _CC = (
 
 
 def _query(name: str, sql: str | None = None):
+    """Registers a query; one that takes a ``view`` also as NAME_whole over all rows, without SQL where that is recursive and so too slow."""
+
     def keep(f):
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
+        if "view" in inspect.signature(f).parameters:
+            QUERIES[f"{name}_whole"] = partial(f, view="order_part_whole")
+            if sql is not None and not sql.startswith("with recursive"):
+                ORACLES[f"{name}_whole"] = sql.replace(VIEWS["order_part"], VIEWS["order_part_whole"])
         return f
 
     return keep
@@ -139,20 +150,20 @@ def _(spark, d):
 
 
 @_query("encoded_ids", _sql("order_part", "select id, (row_number() over (order by id) - 1)::bigint as idx from v"))
-def _(spark, d):
-    return graph.encode_ids(graph.vertices(_edges(spark, d, "order_part")))
+def _(spark, d, view="order_part"):
+    return graph.encode_ids(graph.vertices(_edges(spark, d, view)))
 
 
 @_query("encode_decode_round_trip", _sql("order_part", "select umi1, umi2, 1::bigint as weight from pairs"))
-def _(spark, d):
-    raw = pairs(spark, d, "order_part")
+def _(spark, d, view="order_part"):
+    raw = pairs(spark, d, view)
     mapping = graph.encode_ids(graph.vertices(raw, "umi1", "umi2"))
     return graph.decode_edges(graph.encode_edges(raw, mapping), mapping)
 
 
 @_query("connected_components", _sql("order_part", *_CC, "select id, component from cc", recursive=True))
-def _(spark, d):
-    edges = _edges(spark, d, "order_part")
+def _(spark, d, view="order_part"):
+    edges = _edges(spark, d, view)
     return components.connected_components(edges)
 
 
@@ -165,8 +176,8 @@ def _(spark, d):
 
 
 @_query("component_size_distribution", _sql("order_part", *_CC, "s as (select count(*)::bigint as size from cc group by component)", "select size, count(*)::bigint as count from s group by size", recursive=True))
-def _(spark, d):
-    found = components.connected_components(_edges(spark, d, "order_part"))
+def _(spark, d, view="order_part"):
+    found = components.connected_components(_edges(spark, d, view))
     return statistics.size_distribution(found.groupBy("component").agg(F.count("*").alias("size")))
 
 
@@ -178,8 +189,8 @@ def _(spark, d):
         recursive=True,
     ),
 )
-def _(spark, d):
-    found = statistics.graph_properties(_edges(spark, d, "order_part"), stranded_below=8)
+def _(spark, d, view="order_part"):
+    found = statistics.graph_properties(_edges(spark, d, view), stranded_below=8)
     return found.withColumns({"component_size_distribution": statistics.distribution_text(F.col("component_size_distribution")), "fraction_in_largest_component": F.round("fraction_in_largest_component", 9)})
 
 
@@ -216,25 +227,25 @@ def _(spark, d):
 
 
 @_query("clean_partitions", _sql("order_part", "f2 as (select src, dst from a where src % 4 // 2 = dst % 4 // 2)", "reach(id, label) as (select id, id from v union select f2.dst, reach.label from reach join f2 on f2.src = reach.id where reach.label < f2.dst)", "select id, min(label) as pid from reach group by id", recursive=True))
-def _(spark, d):
-    edges = _edges(spark, d, "order_part")
+def _(spark, d, view="order_part"):
+    edges = _edges(spark, d, view)
     labels = graph.vertices(edges).select("id", F.floor(F.col("id") % 4 / 2).alias("pid"))
     return partitions.split_disconnected(edges, labels)
 
 
 @_query("singlet_partition", _sql("order_part", "select id, id as pid from v"))
-def _(spark, d):
-    return partitions.singlets(graph.vertices(_edges(spark, d, "order_part")))
+def _(spark, d, view="order_part"):
+    return partitions.singlets(graph.vertices(_edges(spark, d, view)))
 
 
 @_query("null_partition", _sql("order_part", "select id, 0::bigint as pid from v"))
-def _(spark, d):
-    return partitions.null_partition(graph.vertices(_edges(spark, d, "order_part")))
+def _(spark, d, view="order_part"):
+    return partitions.null_partition(graph.vertices(_edges(spark, d, view)))
 
 
 @_query("updated_partition", _sql("order_part", "select id, case when id % 5 = 0 then -1 else id % 7 end as pid from v"))
-def _(spark, d):
-    labels = _by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7)
+def _(spark, d, view="order_part"):
+    labels = _by_remainder(graph.vertices(_edges(spark, d, view)), 7)
     return partitions.update(labels, labels.filter("id % 5 = 0").select("id", F.lit(-1).cast("long").alias("pid")))
 
 
@@ -244,55 +255,55 @@ def _(spark, d):
 
 
 @_query("partition_sizes", _sql("order_part", _L, "select pid, count(*)::bigint as size from l group by pid"))
-def _(spark, d):
-    return partitions.sizes(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7))
+def _(spark, d, view="order_part"):
+    return partitions.sizes(_by_remainder(graph.vertices(_edges(spark, d, view)), 7))
 
 
 @_query("num_partitions", _sql("order_part", _L, "select count(distinct pid)::bigint as n_partitions from l"))
-def _(spark, d):
-    return partitions.num_partitions(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7))
+def _(spark, d, view="order_part"):
+    return partitions.num_partitions(_by_remainder(graph.vertices(_edges(spark, d, view)), 7))
 
 
 @_query("largest_partition_size", _sql("order_part", _L, "select max(n)::bigint as size from (select count(*) as n from l group by pid)"))
-def _(spark, d):
-    return partitions.largest_size(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7))
+def _(spark, d, view="order_part"):
+    return partitions.largest_size(_by_remainder(graph.vertices(_edges(spark, d, view)), 7))
 
 
 @_query("top_k_partitions", _sql("order_part", "l as (select id, id % 50 as pid from v)", "select pid, count(*)::bigint as size from l group by pid order by size desc, pid limit 5"))
-def _(spark, d):
-    return partitions.top_k(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 50), 5)
+def _(spark, d, view="order_part"):
+    return partitions.top_k(_by_remainder(graph.vertices(_edges(spark, d, view)), 50), 5)
 
 
 @_query("partition_members", _sql("order_part", _L, "select id from l where pid = 3"))
-def _(spark, d):
-    return partitions.members(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7), 3)
+def _(spark, d, view="order_part"):
+    return partitions.members(_by_remainder(graph.vertices(_edges(spark, d, view)), 7), 3)
 
 
 @_query("is_singlet_partition", _sql("order_part", _L, "select count(*) = 1 as is_singlet from l where pid = 3"))
-def _(spark, d):
-    return partitions.is_singlet(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7), 3)
+def _(spark, d, view="order_part"):
+    return partitions.is_singlet(_by_remainder(graph.vertices(_edges(spark, d, view)), 7), 3)
 
 
 @_query("fresh_partition_ids", _sql("order_part", "m as (select max(id % 7) as top from v)", "select id, top + row_number() over (order by id) as pid from v cross join m where id % 11 = 0"))
-def _(spark, d):
-    ids = graph.vertices(_edges(spark, d, "order_part"))
+def _(spark, d, view="order_part"):
+    ids = graph.vertices(_edges(spark, d, view))
     return partitions.fresh_ids(_by_remainder(ids, 7), ids.filter("id % 11 = 0"))
 
 
 @_query("normalize_partitions", _sql("order_part", "l as (select id, id * 31 % 101 as pid from v)", "m as (select pid, min(id) as least from l group by pid)", "k as (select pid, row_number() over (order by least) - 1 as new from m)", "select id, new::bigint as pid from l join k using (pid)"))
-def _(spark, d):
-    ids = graph.vertices(_edges(spark, d, "order_part"))
+def _(spark, d, view="order_part"):
+    ids = graph.vertices(_edges(spark, d, view))
     return partitions.normalize(ids.select("id", (F.col("id") * 31 % 101).alias("pid")))
 
 
 @_query("is_normalized", _sql("order_part", _L, "select max(pid) + 1 = count(distinct pid) as is_normalized from l"))
-def _(spark, d):
-    return partitions.is_normalized(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7))
+def _(spark, d, view="order_part"):
+    return partitions.is_normalized(_by_remainder(graph.vertices(_edges(spark, d, view)), 7))
 
 
 @_query("partition_matrix", _sql("order_part", _L, "select pid, id, 1.0::double as value from l"))
-def _(spark, d):
-    return partitions.matrix(_by_remainder(graph.vertices(_edges(spark, d, "order_part")), 7))
+def _(spark, d, view="order_part"):
+    return partitions.matrix(_by_remainder(graph.vertices(_edges(spark, d, view)), 7))
 
 
 _Q = "round((select coalesce(sum(e.weight), 0) from e join n x on x.id = e.src join n y on y.id = e.dst where x.pid = y.pid) - {g} * (select sum(s * (s - 1) / 2) from s), 6)"
@@ -422,44 +433,46 @@ _HOLDS = "select count(*)::bigint as node_count, true as each_once, true as conn
 
 
 @_query("label_propagation", _sql("order_part", _HOLDS))
-def _(spark, d):
-    edges = _edges(spark, d, "order_part")
+def _(spark, d, view="order_part"):
+    edges = _edges(spark, d, view)
     return _checked(edges, label_propagation.fast_label_propagation(edges, epochs=1, seed=7), 0.0, 0.0)
 
 
-def _leiden(spark: SparkSession, d: str, gamma: float, objective: quality.Objective) -> DataFrame:
-    first = leiden.start(_edges(spark, d, "order_part"), gamma, objective, seed=7)
+def _leiden(spark: SparkSession, d: str, view: str, gamma: float, objective: quality.Objective) -> DataFrame:
+    first = leiden.start(_edges(spark, d, view), gamma, objective, seed=7)
     last = leiden.leiden(first, randomness=1.0)
     return _checked(first.edges, last.labels(), first.quality(), last.quality())
 
 
 @_query("leiden_modularity", _sql("order_part", _HOLDS))
-def _(spark, d):
-    return _leiden(spark, d, 1.0, quality.MODULARITY)
+def _(spark, d, view="order_part"):
+    return _leiden(spark, d, view, 1.0, quality.MODULARITY)
 
 
 @_query("leiden_cpm", _sql("order_part", _HOLDS))
-def _(spark, d):
-    return _leiden(spark, d, 0.2, quality.CPM)
+def _(spark, d, view="order_part"):
+    return _leiden(spark, d, view, 0.2, quality.CPM)
 
 
 @_query("refine_partitions", _sql("order_part", _HOLDS))
-def _(spark, d):
-    edges = _edges(spark, d, "order_part")
+def _(spark, d, view="order_part"):
+    edges = _edges(spark, d, view)
     level = leiden.start(edges, 0.2, quality.CPM, components.connected_components(edges).withColumnRenamed("component", "pid"), seed=7)
     refined = leiden.refine(level, randomness=1.0).select("id", F.col("refined").alias("pid"))
-    return _checked(level.edges, refined, 0.0, 0.0)
+    nodes = level.nodes.drop("pid")
+    before, after = (quality.quality(level.edges, nodes.join(x, "id"), level.g).first()[0] for x in (partitions.singlets(level.nodes.select("id")), refined))
+    return _checked(level.edges, refined, float(before), float(after))
 
 
 @_query("hybrid", _sql("order_part", _HOLDS))
-def _(spark, d):
-    edges = _edges(spark, d, "order_part")
+def _(spark, d, view="order_part"):
+    edges = _edges(spark, d, view)
     return _checked(edges, hybrid.detect(edges, 1.0, recover=True, seed=7).labels, 0.0, 0.0)
 
 
 @_query("hybrid_conserves_weight", _sql("order_part", "select count(*)::bigint as node_count, true as weight_kept from v"))
-def _(spark, d):
-    edges = _edges(spark, d, "order_part")
+def _(spark, d, view="order_part"):
+    edges = _edges(spark, d, view)
     found = hybrid.detect(edges, 1.0, recover=False, seed=7)
     cut_off = statistics.crossing_weight(edges, found.labels)
     total = graph.totals(edges)
