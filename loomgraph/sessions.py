@@ -8,23 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_leaving: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder is set only where the cluster names none, as in local tests.
+    A temporary folder is set only where none is named and the master is local, as in tests; on a cluster
+    that is an error, as executors don't share the driver's disk.
     """
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; the application's tables go when its driver ends."""
+    own = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+    if own not in _leaving:
+        where, files = _file_system(spark, own)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _leaving.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -37,16 +47,20 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table written by this library, through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a table that ``cut`` made, once nothing reads it any more."""
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/loomgraph/" in folder:
-            drop_path(df.sparkSession, folder)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the files behind tables that ``cut`` made, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/loomgraph/" in folder:
+                drop_path(df.sparkSession, folder)
