@@ -343,3 +343,75 @@ def test_reliabilities_tell_a_good_labeler_from_a_coin():
     assert learnt["email"]["share"] == pytest.approx(0.6, abs=0.05)
     assert rates[1][0][1] > 0.9 and rates[0][0][1] < 0.1 and abs(rates[1][3][1] - rates[0][3][1]) < 0.1
     assert chance["email", (1, 1, 1, 1, 1, 1)] > 0.9 > 0.1 > chance["email", (-1, -1, -1, 1, -1, 0)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="<!-[]>&\"'/abp =x\n", max_size=120))
+def test_broken_markup_never_raises(page):
+    nodes = html_text.parse(page)
+    assert all(0 <= n.parent < i for i, n in enumerate(nodes) if i)
+    html_text.text_of(nodes, html_text.decode(nodes, np.ones(len(nodes))))
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 20_000 + "</div>" * 20_000, "<p>" * 20_000 + "</b>" * 20_000, "<a" * 50_000, "<!--" * 50_000, "<div>" * 20_000 + "deep", "<a href='" * 20_000, "<b>" * 10_000 + "<p>" * 10_000, "<![x[" * 20_000],
+)
+def test_time_is_linear_in_broken_pages(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.text_of(nodes := html_text.parse(page), html_text.decode(nodes, np.ones(len(nodes))))
+    assert time.perf_counter() - began < 2
+
+
+SHAPES = [
+    ("<p>a</p><![foo[x]]>b<![endif]-->", "a\nb"),
+    ("plain words only", "plain words only"),
+    ("<article><p>x is <math><mi>a</mi></math> here.</p><object>fallback</object></article>", "x is a here.\nfallback"),
+    ("<table><caption>Prices</caption><tr><th>Name</th><th>Price</th></tr><tr><td>Tea</td><td>2</td></tr></table>", "Prices\nName\nPrice\nTea\n2"),
+    ("<body>Long article text that goes on for a while, with commas.<br><br>More text here <p>last paragraph of it</p></body>", "Long article text that goes on for a while, with commas. More text here\nlast paragraph of it"),
+    (
+        "<nav><a href='/'>Home</a> <a href='/b'>Shop</a></nav><article><h1>Tea</h1><p>Some words here, and there.</p><dl><dt>Term</dt><dd>Its meaning is told here.</dd></dl>"
+        "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><pre><code>x = 1</code></pre><figure><img src=x><figcaption>A cup of it</figcaption></figure></article><footer>&copy; me</footer>",
+        "Tea\nSome words here, and there.\nTerm\nIts meaning is told here.\na\nb\n1\n2\nx = 1\nA cup of it",
+    ),
+    (
+        "<div><h1>Title of it</h1><p>Some words here, and there, that make a sentence.</p></div><div><h3>Comments (2)</h3><div>Ann</div><div>I like it, really.</div><div>Bob</div><div>Me too.</div></div>",
+        "Title of it\nSome words here, and there, that make a sentence.",
+    ),
+    ("<p>One line.</p><p>All rights reserved.</p><!-- never closed <p>x</p>", "One line.\nAll rights reserved."),
+]
+
+
+@pytest.fixture(scope="module")
+def trees():
+    return html_text.fit()
+
+
+@pytest.mark.parametrize("page, text", SHAPES)
+def test_pages_of_other_shapes(trees, page, text):
+    assert html_text.extract([page], trees) == [text]
+
+
+def test_real_articles_are_whole(spark):
+    """Every page of the table whose article is marked: the text is what the article's blocks say, and nothing else."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    known = html_text.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    for page, got in zip(pages, html_text.extract(pages, known), strict=True):
+        nodes = html_text.parse(page)
+        kept = [False] * len(nodes)
+        for i, n in enumerate(nodes):
+            own = n.tag not in html_text._SILENT and not any(w in n.words.split() for w in ("ad", "related", "sidebar", "comments"))
+            kept[i] = i == 0 or (kept[n.parent] and own and (n.tag in ("html", "body") or n.tag == "article" or nodes[n.parent].tag not in ("#page", "html", "body")))
+        assert got == html_text.text_of(nodes, kept)
+
+
+def test_copies_of_a_page_are_learnt_from_once(spark):
+    rows = [("<article><p>one</p></article>",)] * 50 + [(f"<article><p>text {i}</p></article>",) for i in range(5)] + [("<main>" + "x" * 300 + "</main>",), (None,), ("no tags",)]
+    frame = spark.createDataFrame(rows, "html string").repartition(4)
+    drawn = html_text._drawn(frame, "html", 4, 200)
+    assert len(set(drawn)) == len(drawn) == 4
+    assert len(html_text._drawn(frame, "html", 300, 200)) == 6
