@@ -5,11 +5,12 @@ against (-1) or not at all (0): a validity rule for the kind, gazetteers of word
 characters on either side, and its shape. Expectation maximisation over the counts of vote patterns
 estimates how reliable each labeler is for each kind, without labels, and so the chance that a pattern is personal
 data. A logistic classifier over votes, kind and shape is trained on those chances, and its weights, as a
-literal array, decide on every candidate. Vote patterns and shape grades are few and of fixed number, so only
-``MAX_PATTERNS`` rows of counts reach the driver however large the table is; the rest is one pass and no shuffle.
+literal array, decide on every candidate. Vote patterns and shape grades are of fixed number, kinds times 3 to the
+power of the labelers times grades (51,030), so no more rows of counts reach the driver however large the table
+is; the rest is one pass and no shuffle. Work in a text grows with its length, however many spans it holds.
 
 Base kinds (email, ip, card, phone) are kept whenever they are valid. The method adds ``national`` (phone
-numbers without a country code), ``ssn`` and ``iban`` where the classifier accepts them and no base span overlaps.
+numbers without a country code), ``ssn`` and ``iban`` (country and check digits have to be right) where the classifier accepts them and no base span overlaps.
 
 Spans are in code points, end exclusive. Defined results: a null or empty text has no spans; repeated
 texts get equal spans; an empty table gives no rows, and a kind without candidates keeps its starting estimate.
@@ -27,8 +28,8 @@ from loomgraph.sessions import cut
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("national", "ssn", "iban")
 KINDS = BASE_KINDS + ADDED_KINDS
-MAX_PATTERNS = 20_000
 CONTEXT = 24
+BLOCK = 256
 
 # Possessive, and anchored where a run begins, so that no text makes them back up: they match what
 # the plain patterns would, leftmost and without overlap. Numbers of 16 digits or more only are cards.
@@ -57,15 +58,49 @@ _NOT_BEFORE = r"version|\bv\b|release|order|invoice|isbn|issn|serial|build|secti
 _SPAN = "struct<kind:string,start:int,end:int,word:string,left:string,right:string>"
 
 
+# Countries that have IBANs.
+_IBAN_COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU "
+    "NI NL NO PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK"
+).split()
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` is ``value``, worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _running(values: str, step: str, zero: int) -> str:
+    """SQL: what ``step`` over ``a`` and ``x`` makes of an array of ints up to each place.
+
+    Arrays grow by copying, so the fold goes over blocks of ``BLOCK`` values, and then over the blocks.
+    """
+    last = lambda of: f"coalesce(get({of}, size({of}) - 1), {zero})"
+    ints = "cast(array() as array<int>)"
+    block = f"aggregate(slice(vs, n * {BLOCK} + 1, {BLOCK}), {ints}, (acc, v) -> concat(acc, array({_step(step, last('acc'), 'v')})))"
+    blocks = f"transform(sequence(0, cast((size(vs) - 1) div {BLOCK} as int)), n -> {block})"
+    offsets = f"aggregate(bs, array({zero}), (acc, b) -> concat(acc, array({_step(step, last('acc'), last('b'))})))"
+    shifted = f"flatten(zip_with(bs, slice({offsets}, 1, size(bs)), (b, o) -> transform(b, e -> {_step(step, 'o', 'e')})))"
+    return _let("vs", values, _let("bs", blocks, shifted))
+
+
+def _step(step: str, a: str, x: str) -> str:
+    return step.format(a=a, x=x)
+
+
 def _located(kind: str) -> str:
-    """SQL: spans of a kind, from what matches and what stands between the matches."""
-    zipped = f"zip_with(_m_{kind}, slice(_g_{kind}, 1, size(_m_{kind})), (w, g) -> named_struct('w', w, 'g', length(g)))"
-    start = "acc.at + x.g"
-    end = "acc.at + x.g + length(x.w)"
-    left = f"substring(_text, greatest({start} - {CONTEXT}, 0) + 1, least({CONTEXT}, {start}))"
-    one = f"named_struct('kind', '{kind}', 'start', {start}, 'end', {end}, 'word', x.w, 'left', {left}, 'right', substring(_text, {end} + 1, 1))"
-    zero = f"named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>))"
-    return f"aggregate({zipped}, {zero}, (acc, x) -> named_struct('at', {end}, 'out', concat(acc.out, array({one}))), acc -> acc.out)"
+    """SQL: spans of a kind, from what matches and what stands between the matches.
+
+    The left context is the end of the match before and what follows it, the right one a character.
+    """
+    n = f"size(_m_{kind})"
+    lengths = f"zip_with(_m_{kind}, slice(_g_{kind}, 1, {n}), (w, g) -> length(w) + length(g))"
+    matched = f"zip_with(_m_{kind}, {_running(lengths, '{a} + {x}', 0)}, (w, e) -> named_struct('w', w, 'e', e))"
+    before = f"zip_with(slice(concat(array(''), _m_{kind}), 1, {n}), slice(_g_{kind}, 1, {n}), (p, g) -> right(concat(p, g), {CONTEXT}))"
+    after = f"zip_with(slice(_g_{kind}, 2, {n}), slice(concat(_m_{kind}, array('')), 2, {n}), (g, w) -> left(if(g = '', w, g), 1))"
+    around = f"zip_with({before}, {after}, (l, r) -> named_struct('l', l, 'r', r))"
+    one = f"named_struct('kind', '{kind}', 'start', m.e - length(m.w), 'end', m.e, 'word', m.w, 'left', c.l, 'right', c.r)"
+    return f"if({n} = 0, cast(array() as array<{_SPAN}>), zip_with({matched}, {around}, (m, c) -> {one}))"
 
 
 def candidates(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -108,10 +143,18 @@ def valid(s: Column) -> Column:
         .when(kind == "phone", n.between(8, 15))
         .when(kind == "national", ~digits.rlike("^[01]"))
         .when(kind == "ssn", ~word.rlike("^(?:000|666|9..)-") & ~word.contains("-00-") & ~word.endswith("0000"))
-        .otherwise(n >= 8)
+        .otherwise((n >= 8) & _check_digits(word))
     )
 
 
+def _check_digits(word: Column) -> Column:
+    """Whether an IBAN, its first four characters put last and letters read as 10 to 35, leaves 1 when divided by 97."""
+    characters = F.split(F.concat(F.substr(word, F.lit(5)), F.substr(word, F.lit(1), F.lit(4))), "")
+    worth = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    scale = lambda c: F.when(c.between("0", "9"), 10).otherwise(100)
+    return F.aggregate(F.filter(characters, lambda c: c != ""), F.lit(0), lambda a, c: ((a * scale(c) + worth(c)) % 97).cast("int")) == 1
+
+
 def _vote(yes: Column, no: Column | None = None) -> Column:
     out = F.when(yes, F.lit(1))
     return (out if no is None else out.when(no, F.lit(-1))).otherwise(F.lit(0))
@@ -130,6 +173,7 @@ def votes(s: Column) -> Column:
         .when(kind == "card", word.rlike(r"^[3-6]"))
         .when(kind == "phone", word.rlike(r"^\+[1-9]") & word.rlike(r"[ ().-]"))
         .when(kind == "national", word.rlike(r"^(?:\([0-9]{3}\) [0-9]{3}-|[0-9]{3}([.-])[0-9]{3}\1)"))
+        .when(kind == "iban", F.substr(word, F.lit(1), F.lit(2)).isin(*_IBAN_COUNTRIES))
         .otherwise(F.lit(True))
     )
     return F.array(
@@ -153,7 +197,7 @@ def pattern_counts(found: DataFrame) -> list[Row]:
     """(kind, votes, grade, n): at most kinds x 3**labelers x grades of them, whatever the size of the table."""
     spans = found.select(F.explode("candidates").alias("s"))
     told = spans.select(F.col("s.kind").alias("kind"), votes(F.col("s")).alias("votes"), grades(F.col("s")).alias("grade"))
-    return told.groupBy("kind", "votes", "grade").agg(F.count("*").alias("n")).orderBy("kind", "votes", "grade").limit(MAX_PATTERNS).collect()
+    return told.groupBy("kind", "votes", "grade").agg(F.count("*").alias("n")).orderBy("kind", "votes", "grade").collect()
 
 
 def reliabilities(counts: list[Row], rounds: int = 50) -> tuple[dict, dict]:
@@ -228,6 +272,21 @@ def chance_of(s: Column, weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def _unclaimed(base: str, more: str) -> str:
+    """SQL: the spans of ``more`` that overlap with none of ``base``, by kind, then start.
+
+    Over all spans by start: the furthest end of a base span so far, and the first start of one yet to come.
+    """
+    is_base = " or ".join(f"s.kind = '{k}'" for k in BASE_KINDS)
+    sortable = f"array_sort(transform(concat({base}, {more}), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'word', s.word, 'left', s.left, 'right', s.right)))"
+    furthest = _running(f"transform(ss, s -> if({is_base}, s.end, 0))", "greatest({a}, {x})", 0)
+    nearest = f"reverse({_running(f'reverse(transform(ss, s -> if({is_base}, s.start, {2**31 - 1})))', 'least({a}, {x})', 2**31 - 1)})"
+    bounds = f"zip_with({furthest}, {nearest}, (f, t) -> named_struct('f', f, 't', t))"
+    told = f"zip_with(ss, {bounds}, (s, w) -> if(({is_base}) or w.f > s.start or w.t < s.end, null, named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'word', s.word, 'left', s.left, 'right', s.right)))"
+    by_kind = ", ".join(f"filter(ks, k -> k.kind = '{kind}')" for kind in ADDED_KINDS)
+    return f"if(size({more}) = 0 or size({base}) = 0, {more}, {_let('ss', sortable, _let('ks', told, f'concat({by_kind})'))})"
+
+
 def find(documents: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """Every row with ``spans`` in place of its text: valid base spans by kind, then those of added kinds that the classifier accepts."""
     found = cut(candidates(documents, text), "candidates")
@@ -235,13 +294,12 @@ def find(documents: DataFrame, text: str = "text", least: float = 0.5) -> DataFr
     chance, _ = reliabilities(counts)
     weights = train(counts, chance)
     base = F.filter("candidates", lambda s: s["kind"].isin(*BASE_KINDS) & valid(s))
-    more = F.filter("candidates", lambda s: s["kind"].isin(*ADDED_KINDS))
-    free = F.filter(more, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    kept = F.filter(free, lambda s: valid(s) & (chance_of(s, weights) >= least))
+    more = F.filter("candidates", lambda s: s["kind"].isin(*ADDED_KINDS) & valid(s) & (chance_of(s, weights) >= least))
     some = F.size("candidates") > 0
     none = F.array().cast(f"array<{_SPAN}>")
-    out = found.withColumn("_base", F.when(some, base).otherwise(none)).withColumn("spans", F.when(some, F.concat("_base", kept)).otherwise(none))
-    return out.drop("candidates", "_base")
+    out = found.withColumns({"_base": F.when(some, base).otherwise(none), "_more": F.when(some, more).otherwise(none)})
+    out = out.withColumn("spans", F.concat("_base", F.expr(_unclaimed("_base", "_more"))))
+    return out.drop("candidates", "_base", "_more")
 
 
 def joined(spans: str, kinds: tuple[str, ...]) -> Column:

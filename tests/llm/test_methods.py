@@ -415,3 +415,41 @@ def test_copies_of_a_page_are_learnt_from_once(spark):
     drawn = html_text._drawn(frame, "html", 4, 200)
     assert len(set(drawn)) == len(drawn) == 4
     assert len(html_text._drawn(frame, "html", 300, 200)) == 6
+
+
+def test_many_spans_in_one_text(spark):
+    """Over 200,000 matches in a text: spans are where they should be, and time is near-linear."""
+    import time
+
+    from tests.llm.test_queries import personal
+
+    text = " ".join(f"u{i}@b{i}.org 10.0.{i % 300}.7 555-123-{i % 10_000:04d}" for i in range(70_000))
+    found = pii.find(spark.createDataFrame([(1, text), (2, "😀 a@b.c")], "n int, text string"))
+    began = time.perf_counter()
+    got = {r["n"]: [tuple(x) for x in r["b"]] for r in found.select("n", F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("b")).collect()}
+    assert time.perf_counter() - began < 60
+    assert [x for x in got[1] if x[0] in pii.BASE_KINDS] == personal(text) and got[2] == [("email", 2, 7)]
+    assert sum(x[0] == "national" for x in got[1]) == 70_000
+
+
+def test_added_spans_overlap_no_base_span(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(["555-123-4567", " ", "+1 ", "4111 1111 1111 1111", "(", ")", "1", "123-45-6789", " x@y.z ", "GB82WEST12345698765432", "tel "], k=12)) for _ in range(200)]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), least=0.0).collect()
+    seen = 0
+    for r in found:
+        base, more = ([s for s in r["spans"] if (s["kind"] in pii.BASE_KINDS) == flag] for flag in (True, False))
+        assert not any(b["start"] < s["end"] and s["start"] < b["end"] for s in more for b in base)
+        assert all(texts[r["n"]][s["start"] : s["end"]] == s["word"] for s in r["spans"])
+        assert [(pii.KINDS.index(s["kind"]), s["start"]) for s in r["spans"]] == sorted((pii.KINDS.index(s["kind"]), s["start"]) for s in r["spans"])
+        want = {m.span() for m in __import__("re").finditer(pii._PATTERNS["ssn"], texts[r["n"]])} if "ssn" in {s["kind"] for s in more} else set()
+        got = {(s["start"], s["end"]) for s in more if s["kind"] == "ssn"}
+        assert got == {w for w in want if not any(b["start"] < w[1] and w[0] < b["end"] for b in base)} or not want
+        seen += len(more)
+    assert seen > 50
+
+
+def test_account_numbers_have_to_check(spark):
+    texts = ["IBAN: GB82WEST12345698765432", "IBAN: GB00WEST12345678901234", "IBAN: GB00ABCD12345678901234", "IBAN: DE89370400440532013000", "IBAN: DE89370400440532013001"]
+    got = [[s["kind"] for s in r["spans"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).orderBy("n").collect()]
+    assert got == [["iban"], [], [], ["iban"], []]
