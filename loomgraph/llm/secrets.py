@@ -4,11 +4,16 @@ Every version of a text is content-addressed by its SHA-256. The ledger holds th
 version) that were scanned, with their findings; ``scan`` reads only texts whose pair is not in it,
 each once however often it occurs, and joins the findings back to every path that has the blob.
 
+Most texts occur once and are new, and are scanned where they are: a bit table of bounded size tells them from
+those that may repeat or be in the ledger. Only the latter are brought together by address. Likewise only rows
+that may have findings take part in the join back, dealt by a salt, so one blob of very many paths is many tasks.
+
 Spans are in code points, end exclusive. Base kinds: ``assign``, ``access`` and ``hex``; the method
 adds ``pem`` (private key blocks) and ``forge`` (prefixed access tokens of code forges).
 
 Defined results: a null text is the empty blob and has no findings; repeated texts share a blob and
-give the same findings on every path; an empty table gives an empty ledger and no rows.
+give the same findings on every path; a ledger that repeats a pair, as a retried append may leave it, counts it
+once; an empty table gives an empty ledger and no rows.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sessions import cut
+from loomgraph.llm import bit_table
+from loomgraph.sessions import cut, drop_table
 
 RULE_VERSION = 1  # raise it with every change of the patterns: all blobs are then scanned again
 KINDS = ("assign", "access", "hex", "pem", "forge")
@@ -31,6 +38,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----")
 _FORGE = re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")
 _HINT = re.compile(r"[:=]")
+SALTS = 16
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -50,11 +58,17 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
 def _find_in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    """(blob, text, spans) of (blob, text, later): what is for later keeps its text and has no spans yet."""
     for batch in batches:
-        spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t.as_py() or "")] for t in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(spans, kind)], names=["blob", "spans"])
+        later = batch.column("later").to_pylist()
+        texts = [t.as_py() for t in batch.column("text")]
+        spans = [None if wait else [dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t)] for t, wait in zip(texts, later, strict=True)]
+        kept = [t if wait else None for t, wait in zip(texts, later, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(kept, pa.string()), pa.array(spans, _FOUND)], names=["blob", "text", "spans"])
 
 
 def blob_of(text: str = "text"):
@@ -63,18 +77,26 @@ def blob_of(text: str = "text"):
 
 
 def update(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, spans) for the pairs that ``ledger`` lacks.
-
-    The first row of each blob, by a hash of its address, carries the text: the shuffle keeps one text for
-    a blob and map task, as equal texts are dropped before it, so copies of one text don't meet in bulk.
-    """
-    named = versions.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        named = named.join(known, "blob", "left_anti")
-    once = named.groupBy("blob").agg(F.first("_text").alias("_text"))
-    found = once.mapInArrow(_find_in_batches, f"blob string, spans {SPANS}")
-    return found.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    """Ledger rows (blob, rule_version, spans) for the pairs that ``ledger`` lacks."""
+    plain = F.coalesce(F.col(text), F.lit(""))
+    known = None if ledger is None else ledger.filter(F.col("rule_version") == rule_version).select("blob")
+    # a hash of the text is enough to tell what may repeat: one that only seems to goes the longer way
+    marks = versions.select(F.xxhash64(plain).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    if known is not None:
+        marks = marks.unionByName(known.select(F.xxhash64("blob").alias("h")))
+    marks = cut(marks, "marks")
+    table = bit_table.build(marks, "h")
+    address = blob_of(text)
+    seen = bit_table.passes(table, F.xxhash64(plain), *([] if known is None else [F.xxhash64(address)]))
+    first = cut(versions.select(address.alias("blob"), plain.alias("text"), seen.alias("later")).mapInArrow(_find_in_batches, f"blob string, text string, spans {SPANS}"), "scanned")
+    once = first.filter("spans is null").groupBy("blob").agg(F.first("text").alias("text"))  # copies are dropped before the shuffle
+    if known is not None:
+        once = once.join(known.distinct(), "blob", "left_anti")
+    found = once.withColumn("later", F.lit(False)).mapInArrow(_find_in_batches, f"blob string, text string, spans {SPANS}")
+    both = first.filter("spans is not null").select("blob", "spans").unionByName(found.select("blob", "spans"))
+    out = cut(both.select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
+    drop_table(marks, first)
+    return out
 
 
 def scan(
@@ -84,11 +106,19 @@ def scan(
 
     Only blobs with findings take part in the join back; the rest get an empty array.
     """
-    fresh = cut(update(versions, text, ledger, rule_version), "ledger")
-    whole = fresh if ledger is None else ledger.unionByName(fresh)
-    hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    rows = versions.withColumn(blob, blob_of(text)).drop(spans).join(hits, blob, "left")
-    return rows.withColumn(spans, F.coalesce(spans, F.array().cast(SPANS))), whole
+    fresh = update(versions, text, ledger, rule_version)
+    whole = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
+    hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+    hits = cut(hits.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "hits")
+    table = bit_table.build(hits.select(F.xxhash64(blob).alias("h")), "h")
+    names = {c.lower() for c in (*versions.columns, blob, spans)}
+    salt, may = (next(n for k in range(99) if (n := f"_{w}{k}") not in names) for w in ("salt", "may"))
+    rows = versions.withColumn(blob, blob_of(text)).drop(spans).withColumn(may, bit_table.passes(table, F.xxhash64(blob)))
+    near = rows.filter(may).withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    near = near.join(hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [blob, salt], "left")
+    out = [c for c in rows.columns if c != may]
+    far = rows.filter(~F.col(may)).select(*out, F.array().cast(SPANS).alias(spans))
+    return near.select(*out, F.coalesce(spans, F.array().cast(SPANS)).alias(spans)).unionByName(far), whole
 
 
 def joined(spans, kinds: tuple[str, ...]):
@@ -97,9 +127,21 @@ def joined(spans, kinds: tuple[str, ...]):
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _masked(text: str, spans, by: str) -> str:
+    out, at = [], -1  # where what is masked ends
+    for s in spans:
+        if s["start"] > at:
+            out += [text[max(at, 0) : s["start"]], by]
+        at = max(at, s["end"])
+    return "".join([*out, text[max(at, 0) :]])
+
+
 def redacted(text: str = "text", spans: str = "spans", by: str = "[secret]") -> Column:
-    """The text with ``by`` in place of every span; spans that overlap or touch count as one."""
-    piece = f"concat(acc.out, case when s.start > acc.at or acc.at = 0 then concat(substring({text}, acc.at + 1, s.start - acc.at), '{by}') else '' end)"
-    step = f"case when s.end <= acc.at then acc else named_struct('at', s.end, 'out', {piece}) end"
-    whole = f"aggregate({spans}, named_struct('at', 0, 'out', ''), (acc, s) -> {step}, acc -> concat(acc.out, substring({text}, acc.at + 1)))"
-    return F.when(F.size(spans) > 0, F.expr(whole)).otherwise(F.col(text))
+    """The text with ``by`` in place of every span; spans that overlap or touch count as one. Only texts with spans go to Python."""
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _masked(t, s, by) for t, s in zip(texts, found, strict=True)], dtype=object)
+
+    some = F.size(spans) > 0
+    return F.when(some, mask(F.when(some, F.col(text)), F.when(some, F.col(spans)))).otherwise(F.col(text))

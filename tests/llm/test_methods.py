@@ -453,3 +453,44 @@ def test_account_numbers_have_to_check(spark):
     texts = ["IBAN: GB82WEST12345698765432", "IBAN: GB00WEST12345678901234", "IBAN: GB00ABCD12345678901234", "IBAN: DE89370400440532013000", "IBAN: DE89370400440532013001"]
     got = [[s["kind"] for s in r["spans"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).orderBy("n").collect()]
     assert got == [["iban"], [], [], ["iban"], []]
+
+
+def test_a_retried_append_counts_once(spark):
+    one = spark.createDataFrame([("a.txt", "password=abcdef1"), ("b.txt", "nothing")], "path string, text string")
+    _, ledger = secrets.scan(one)
+    rows, after = secrets.scan(one.unionByName(spark.createDataFrame([("c.txt", "password=abcdef1"), ("c.txt", "password=abcdef1")], one.schema)), ledger=ledger.unionByName(ledger))
+    assert sorted((r["path"], len(r["spans"])) for r in rows.collect()) == [("a.txt", 1), ("b.txt", 0), ("c.txt", 1), ("c.txt", 1)]
+    assert secrets.update(one, ledger=ledger.unionByName(ledger)).count() == 0
+
+
+def test_every_text_is_read_once_over_deliveries(spark):
+    """Against plain Python: ledger rows are the distinct texts, at each rule version, whatever order they come in."""
+    rng = random.Random(13)
+    texts = [rng.choice(["password=abcdef1", "x", "", None, f"token: {rng.randrange(10**9)}zz", f"text {rng.randrange(30)}"]) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(5)
+    first, ledger = secrets.scan(frame.filter("n % 2 = 0"))
+    second, ledger = secrets.scan(frame.filter("n % 2 = 1"), ledger=ledger)
+    assert ledger.count() == len({t or "" for t in texts})
+    got = {r["n"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in first.unionByName(second).collect()}
+    assert got == {n: secrets.find(t or "") for n, t in enumerate(texts)}
+    again, ledger = secrets.scan(frame, ledger=ledger, rule_version=2)
+    assert ledger.count() == 2 * len({t or "" for t in texts}) and again.count() == 400
+
+
+def test_masks_of_many_and_overlapping_spans(spark):
+    text = "".join(f"key{i} " for i in range(100_000))
+    spans = [("hex", m.start(), m.end()) for m in __import__("re").finditer(r"key\d+", text)]
+    rows = [(1, text, spans), (2, "abcdef", [("a", 0, 2), ("a", 1, 3), ("a", 3, 4), ("a", 5, 6)]), (3, None, []), (4, "x", [])]
+    got = {r["n"]: r["t"] for r in spark.createDataFrame(rows, f"n int, text string, spans {secrets.SPANS}").select("n", secrets.redacted(by="#").alias("t")).collect()}
+    assert got == {1: "# " * 100_000, 2: "#e#", 3: None, 4: "x"}
+
+
+def test_bit_tables_lose_no_hash(spark):
+    from loomgraph.llm import bit_table
+
+    values = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    table = bit_table.build(values, "h")
+    assert values.filter(~bit_table.passes(table, F.col("h"))).isEmpty()
+    others = spark.range(20_000, 40_000).select(F.xxhash64("id").alias("h"))
+    assert others.filter(bit_table.passes(table, F.col("h"))).count() < 1000
+    assert others.filter(bit_table.passes(bit_table.build(values.limit(0), "h"), F.col("h"))).isEmpty()
