@@ -68,3 +68,21 @@ def passes(table: Broadcast, *hashes: Column) -> Column:
             yield pd.Series(found)
 
     return reduce(lambda a, b: a | b, (test(h) for h in hashes))
+
+
+def split(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have a key among ``keys`` (of the same name), and the rest, which surely hasn't.
+
+    So that only the former have to be shuffled for a join.
+    """
+    table = build(keys.select(F.xxhash64(column).alias("h")), "h")
+    taken = {c.lower() for c in rows.columns}
+    may = next(n for k in range(len(taken) + 1) if (n := f"_may{k}") not in taken)
+    marked = rows.withColumn(may, passes(table, F.xxhash64(column)))
+    return marked.filter(may).drop(may), marked.filter(~F.col(may)).drop(may)
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose key is none of ``keys``; those with a null stay."""
+    near, far = split(rows, keys, column)
+    return near.join(keys, column, "left_anti").select(*rows.columns).unionByName(far.select(*rows.columns))

@@ -11,7 +11,7 @@ Labels come only from rows that the caller's ``fit_on`` condition keeps. Term we
 what is fitted on the sample. Scoring is one pass without a shuffle.
 
 Defined results: a null or empty text has no terms and gets the share of label 1 in the sample; without
-labels every score is 0.5; repeated texts get equal scores; rows without an id are scored but
+labels every score is 0.5; an id with conflicting labels counts as its largest; repeated texts get equal scores; rows without an id are scored but
 never learnt from; an empty table gives no rows. A column named like the score is replaced, others are kept.
 """
 

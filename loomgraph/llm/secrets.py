@@ -110,15 +110,13 @@ def scan(
     whole = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
     hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
     hits = cut(hits.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "hits")
-    table = bit_table.build(hits.select(F.xxhash64(blob).alias("h")), "h")
-    names = {c.lower() for c in (*versions.columns, blob, spans)}
-    salt, may = (next(n for k in range(99) if (n := f"_{w}{k}") not in names) for w in ("salt", "may"))
-    rows = versions.withColumn(blob, blob_of(text)).drop(spans).withColumn(may, bit_table.passes(table, F.xxhash64(blob)))
-    near = rows.filter(may).withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    near = near.join(hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [blob, salt], "left")
-    out = [c for c in rows.columns if c != may]
-    far = rows.filter(~F.col(may)).select(*out, F.array().cast(SPANS).alias(spans))
-    return near.select(*out, F.coalesce(spans, F.array().cast(SPANS)).alias(spans)).unionByName(far), whole
+    rows = versions.withColumn(blob, blob_of(text)).drop(spans)
+    out, none = rows.columns, F.array().cast(SPANS)
+    salt = next(n for k in range(len(out) + 1) if (n := f"_salt{k}") not in {c.lower() for c in (*out, spans)})
+    near, far = bit_table.split(rows, hits.select(blob), blob)
+    dealt = hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = near.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(dealt, [blob, salt], "left")
+    return near.select(*out, F.coalesce(spans, none).alias(spans)).unionByName(far.select(*out, none.alias(spans))), whole
 
 
 def joined(spans, kinds: tuple[str, ...]):

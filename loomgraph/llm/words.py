@@ -2,7 +2,8 @@
 
 A word is a longest run of bytes other than ASCII white space (0x20, 0x09-0x0D); A-Z count as a-z.
 Nulls count as empty texts. Texts are taken whole, in chunks of whole documents of about ``CHUNK``
-bytes (a longer document is a chunk of its own), so memory is bounded by the longest document.
+bytes (a longer document is a chunk of its own). Beside the text itself, three bytes of marks a byte and 24 bytes
+a word are held for a chunk; hashing goes over it ``CHUNK`` bytes at a time, whatever the length of a word.
 """
 
 from __future__ import annotations
@@ -20,21 +21,17 @@ _LOWER += np.uint64(1)
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
+_STEP = 1 << 12
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            out.append(p)
-        _powers = (out[0], out[1])
-    return _powers[0][:n], _powers[1][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2**64."""
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+_LOW = _powers(_BASE, _STEP)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,14 +60,25 @@ class Words:
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, bounds)
-        if len(self.starts):
-            p, inverse = _powers_to(len(data))
-            sums = np.add.reduceat(np.where(word, _LOWER[data], np.uint64(0)) * p, self.starts)
-            self.hashes = mix(sums * inverse[self.starts])
-        else:
-            self.hashes = np.zeros(0, np.uint64)
+        self.hashes = self._hashed(word)
         self.docs = docs
 
+    def _hashed(self, word: np.ndarray) -> np.ndarray:
+        """Of each word: its bytes, each times the power of the base that its place in the word says, summed up."""
+        sums = np.zeros(len(self.starts), np.uint64)
+        longest = int((self.ends - self.starts).max(initial=1))
+        high = _powers(pow(_BASE, _STEP, 1 << 64), (longest - 1) // _STEP + 1)
+        for lo in range(int(self.starts[0]) if len(sums) else len(self.data), len(self.data), CHUNK):
+            hi = min(lo + CHUNK, len(self.data))
+            a, b = int(np.searchsorted(self.starts, lo, "right")) - 1, int(np.searchsorted(self.starts, hi))
+            begins = np.maximum(self.starts[a:b], lo)
+            place = np.arange(lo, hi) - np.repeat(self.starts[a:b], np.diff(np.append(begins, hi)))
+            value = np.where(word[lo:hi], _LOWER[self.data[lo:hi]], np.uint64(0)) * _LOW[place & (_STEP - 1)]
+            if longest > _STEP:
+                value *= high[np.minimum(place // _STEP, len(high) - 1)]  # beyond a word's end there are only zeros
+            sums[a:b] += np.add.reduceat(value, begins - lo)
+        return mix(sums)
+
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 

@@ -494,3 +494,111 @@ def test_bit_tables_lose_no_hash(spark):
     others = spark.range(20_000, 40_000).select(F.xxhash64("id").alias("h"))
     assert others.filter(bit_table.passes(table, F.col("h"))).count() < 1000
     assert others.filter(bit_table.passes(bit_table.build(values.limit(0), "h"), F.col("h"))).isEmpty()
+
+
+@pytest.mark.parametrize("length, replaced, least", [(6, 1, 1.0), (7, 1, 1.0), (9, 1, 1.0), (10, 1, 0.95), (12, 1, 0.95), (12, 2, 0.9), (15, 2, 0.95), (15, 3, 0.9), (20, 3, 0.95), (20, 4, 0.95), (30, 6, 0.95)])
+def test_recall_of_replaced_words(spark, length, replaced, least):
+    rng = random.Random(length * 31 + replaced)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(i if i % 7 else None, " ".join(rng.choices(vocabulary, k=length))) for i in range(1, 201)]
+    docs = []
+    for n, (_, text) in enumerate(items):
+        own = text.split()
+        for at in rng.sample(range(length), replaced):
+            own[at] = f"other{rng.randrange(10**6)}"
+        docs.append((n, " ".join(rng.choices(vocabulary, k=30) + own + rng.choices(vocabulary, k=30))))
+    docs += [(1000 + n, " ".join(rng.choices(vocabulary, k=100))) for n in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"] for r in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert max(found) < 1000 and len(found) >= least * 200
+
+
+def test_large_benchmarks_are_joined_by_shuffle(spark):
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 40)))) for i in range(40)]
+    docs = [(n, " ".join(rng.choices(vocabulary, k=20) + rng.choice(items)[1].split() + rng.choices(vocabulary, k=20) + rng.choice(items)[1].split())) for n in range(60)]
+    docs += [(100, f"{items[3][1]} x y z {items[3][1]}")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.overlaps(frame, bench).collect()))
+    two = sorted(map(tuple, decontaminate.overlaps(frame, bench, broadcast_seeds=0, broadcast_words=0).collect()))
+    assert one == two and sum(r[0] == 100 and r[1] == 3 for r in one) == 2
+
+
+def test_every_run_of_an_alignment():
+    same = np.array([1] * 12 + [0] * 20 + [1] * 11 + [0, 1] * 3, bool)
+    assert sorted(decontaminate.runs(same, 10)) == [(0, 12), (32, 43)] and list(decontaminate.runs(same, 13)) == []
+
+
+def plain_hash(word):
+    """A word's hash, byte by byte."""
+    total = 0
+    for k, c in enumerate(word.lower()):
+        total += (c + 1) * pow(words._BASE, k, 1 << 64)
+    return int(words.mix(np.array([total % (1 << 64)], np.uint64))[0])
+
+
+def test_hashes_of_words_of_any_length(monkeypatch):
+    texts = ["a bc  DEF", None, " " * 30, "x" * 9000 + " y " + "Zq" * 5000, "", "é\t😀 end "]
+    (part,) = words.chunks(pa.array(texts))
+    want = [plain_hash(w) for t in texts for w in (t or "").encode().split()]
+    assert part.hashes.tolist() == want
+    for size in (7, 64, 5000):
+        monkeypatch.setattr(words, "CHUNK", size)
+        assert [h for p in words.chunks(pa.array(texts)) for h in p.hashes.tolist()] == want
+
+
+def test_a_very_long_text_in_bounded_memory():
+    """50 MB of text, and one word of 10 MB in it."""
+    import resource
+
+    text = "some words of a long text " * 1_600_000 + "w" * 10_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (part,) = words.chunks(pa.array([text], pa.large_string()))
+    assert len(part.hashes) == 9_600_001 and len(np.unique(part.hashes)) == 7
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KB
+
+
+def test_terms_are_chosen_as_by_plain_counts(spark):
+    """The terms and bits that Spark finds, and scores, against plain Python over the same texts."""
+    rng = random.Random(15)
+    bad, plain_words = [f"vile{i}" for i in range(6)], [f"word{i}" for i in range(80)]
+    docs = [(n, " ".join(rng.choices(plain_words, k=12) + (rng.choices(bad, k=3) if n % 4 == 0 else []))) for n in range(200)]
+    labels = [(n, int(n % 4 == 0)) for n in range(100)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    sets = {}
+    for n, text in docs:
+        (part,) = words.chunks(pa.array([text]))
+        sets[n] = set(toxicity.document_terms(part)[0].tolist())
+    positive, everyone = [sets[n] for n, y in labels if y], list(sets.values())
+    sure = {}
+    for t in set().union(*everyone):
+        p, u = sum(t in s for s in positive), sum(t in s for s in everyone)
+        share_p, share_u = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(everyone) + 1)
+        sure[t] = (share_p - share_u) / (share_u * (1 - min(share_u, 0.999)) / len(positive) + 1e-9) ** 0.5 if p >= 3 else 0
+    best = sorted(sure, key=lambda t: (-sure[t], t))[: toxicity.TERMS]
+    assert model.terms.tolist() == sorted(t for t in best if sure[t] > 4)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for n, _ in docs:
+        z = [sum(w[i] for i, t in enumerate(model.terms) if t in sets[n]) + b for w, b in zip(model.weights, model.bias, strict=True)]
+        assert scored[n] == pytest.approx(np.mean([1 / (1 + np.exp(-x)) for x in z]))
+    assert min(s for n, s in scored.items() if n % 4 == 0) > max(s for n, s in scored.items() if n % 4)
+
+
+def test_votes_match_plain_neighbours(spark):
+    """Scores of the operator against a vote worked out from all cosines, vector by vector."""
+    rng = random.Random(16)
+    docs = [(n, " ".join(rng.choices(["Good", "plain", "words.", "more,"] if n % 2 else ["$$", "BUY", "now!!!", "###"], k=rng.randrange(1, 40)))) for n in range(120)]
+    labels = [(n, n % 2) for n in range(80)]
+    model = quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert model.vectors.shape[0] == 80
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for n, text in docs[::7]:
+        (part,) = words.chunks(pa.array([text]))
+        terms = quality.term_counts(part)[0]
+        low = [sum(float(t) * float(w) * float(b) for t, w, b in zip(terms, model.weights, column, strict=True) if t) for column in model.basis.T]
+        size = sum(x * x for x in low) ** 0.5
+        cosines = sorted(((sum(x * float(v) for x, v in zip(low, vector, strict=True)) / size, y) for vector, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(c, 0) ** quality.SHARPNESS for c, _ in cosines]
+        assert got[n] == pytest.approx(sum(w * y for w, (_, y) in zip(weight, cosines, strict=True)) / sum(weight), abs=2e-3)
+    assert min(s for n, s in got.items() if n % 2) > max(s for n, s in got.items() if n % 2 == 0)
