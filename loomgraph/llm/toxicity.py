@@ -189,114 +189,6 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_on: C
     return fit_matrix(dense[flag == 1], dense[flag == 0], prior, terms)
 
 
-def score(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        docs = len(first) - 1
-        if not len(self.bias):
-            return np.zeros(docs)
-        at = np.searchsorted(self.terms, numbers)
-        at[at == len(self.terms)] = 0
-        doc = np.repeat(np.arange(docs), np.diff(first))
-        hit = self.terms[at] == numbers if len(self.terms) else np.zeros(len(numbers), bool)
-        out = np.zeros(docs)
-        for w, b in zip(self.weights, self.bias, strict=True):
-            out += 1 / (1 + np.exp(-np.clip(np.bincount(doc[hit], w[at[hit]], docs) + b, -30, 30)))
-        return out / len(self.bias)
-
-
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier under the non-negative risk with the sigmoid loss, by Adam."""
-    positive, unlabelled = positive.astype(np.float64), unlabelled.astype(np.float64)  # once, not in every product
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0, 0.01, positive.shape[1])
-    b = -1.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    slope = lambda z: z * (1 - z)
-    for t in range(1, steps + 1):
-        zp = 1 / (1 + np.exp(-np.clip(positive @ w + b, -30, 30)))
-        zu = 1 / (1 + np.exp(-np.clip(unlabelled @ w + b, -30, 30)))
-        gp, gu = slope(zp) / len(zp), slope(zu) / len(zu)
-        as_negative = zu.mean() - prior * zp.mean()
-        if as_negative >= 0:
-            dp, du = -2 * prior * gp, gu
-        else:
-            dp, du = prior * gp, -gu
-        g = np.append(positive.T @ dp + unlabelled.T @ du + decay * w, dp.sum() + du.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
-
-
-def fit_matrix(positive: np.ndarray, unlabelled: np.ndarray, prior: float, terms: np.ndarray) -> Model:
-    """Train the classifiers on 0/1 rows over ``terms``."""
-    if not len(positive) or not len(unlabelled) or not len(terms):
-        return Model(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
-    weights, bias = [], []
-    for seed in range(CLASSIFIERS):
-        rng = np.random.default_rng(seed)
-        own = positive[rng.random(len(positive)) < 0.85] if len(positive) > 20 else positive
-        w, c = fit_nnpu(own, unlabelled[rng.random(len(unlabelled)) < 0.85], prior, seed)
-        weights.append(w)
-        bias.append(c)
-    return Model(terms, np.array(weights), np.array(bias))
-
-
-def chosen_terms(found: DataFrame, n_positive: int, n_unlabelled: int, terms: int = TERMS) -> np.ndarray:
-    """Term numbers that set positives apart, by log odds weighed by how sure they are; counted in Spark."""
-    flags = found.select("positive", F.explode("numbers").alias("term"))
-    counts = flags.groupBy("term").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
-    share_p, share_u = (F.col("p") + 0.5) / (n_positive + 1), (F.col("u") + 0.5) / (n_unlabelled + 1)
-    spread = F.sqrt(share_u * (1 - F.least(share_u, F.lit(0.999))) / n_positive + 1e-9)
-    sure = F.when(F.col("p") >= 3, (share_p - share_u) / spread).otherwise(0.0)
-    best = counts.select("term", sure.alias("sure")).orderBy(F.desc("sure"), "term").limit(terms).collect()  # the model's size
-    chosen = [r["term"] for r in best if r["sure"] > 4] or [r["term"] for r in best[:8]]
-    return np.sort(np.array(chosen, np.int64))
-
-
-def _packed(found: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(positive, bits): which of the terms each sampled text holds."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for own in batch.column("numbers"):
-                bits = np.zeros(len(terms), bool)
-                numbers = own.values.to_numpy()
-                at = np.minimum(np.searchsorted(terms, numbers), len(terms) - 1)
-                bits[at[terms[at] == numbers]] = True
-                rows.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.binary())], names=["positive", "bits"])
-
-    return found.mapInArrow(pack, "positive int, bits binary")
-
-
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in words.chunks(batch.column("_text")):
-            numbers, first = document_terms(part)
-            lists = [numbers[a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_positive").slice(part.lo, part.docs), pa.array(lists, pa.list_(pa.int32()))], names=["positive", "numbers"])
-
-
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_on: Column | None = None, prior: float | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, id: str = "doc_id", text: str = "text") -> Model:
-    """Learn from confirmed positives and unlabelled texts, both bounded; only bits of the chosen terms reach the driver.
-
-    ``prior`` defaults to the share of positives among the labels that ``fit_on`` keeps.
-    """
-    usable = labels.filter((F.lit(True) if fit_on is None else fit_on) & F.col(label).isNotNull() & F.col(id).isNotNull())
-    share = usable.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    prior = min(max(share or 0.0, 1e-3), 0.5) if prior is None else prior
-    order = F.xxhash64(F.col(id), F.lit(29))
-    confirmed = usable.filter(F.col(label) == 1).select(id).distinct().orderBy(order, id).limit(max_positives).withColumn("_positive", F.lit(1))
-    anyone = documents.filter(F.col(id).isNotNull()).select(id).distinct().orderBy(order, id).limit(max_unlabelled).withColumn("_positive", F.lit(0))
-    chosen = confirmed.unionByName(anyone)  # both limits are documented parameters, so this may be broadcast
-    rows = documents.select(id, plain(F.col(text)).alias("_text")).join(F.broadcast(chosen), id)
-    rows = rows.groupBy(id, "_positive").agg(F.min("_text").alias("_text")).select("_text", "_positive")  # rows may repeat an id
-    found = rows.mapInArrow(_numbers, "positive int, numbers array<int>").toPandas()
-    pick = lambda flag: sorted((np.asarray(x, np.int64) for x in found.loc[found["positive"] == flag, "numbers"]), key=lambda x: x.tobytes())
-    return fit_rows(pick(1), pick(0), prior)
-
-
 def score(documents: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Every row with the mean of the classifiers' estimates that it is toxic."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
