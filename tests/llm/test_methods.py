@@ -602,3 +602,32 @@ def test_votes_match_plain_neighbours(spark):
         weight = [max(c, 0) ** quality.SHARPNESS for c, _ in cosines]
         assert got[n] == pytest.approx(sum(w * y for w, (_, y) in zip(weight, cosines, strict=True)) / sum(weight), abs=2e-3)
     assert min(s for n, s in got.items() if n % 2) > max(s for n, s in got.items() if n % 2 == 0)
+
+
+def test_targets_of_many_sources(spark):
+    """More sources than fit a driver's plan: Spark's rounds against the plain list, hard caps in a row included."""
+    rng = random.Random(17)
+    sizes = [0 if i % 11 == 0 else int(10 ** rng.uniform(0, 6)) for i in range(3000)]
+    weights = [float(1 + i % 3) for i in range(3000)]
+    rows = spark.createDataFrame(list(zip(range(3000), sizes, weights)), "n int, size long, weight double")
+    for budget, most in ((1.0, 3), (2.9, 3), (3.0, 3), (0.01, 1)):
+        got = {r["n"]: r["target"] for r in mixing.aimed(rows, budget, most).collect()}
+        want = mixing.targets(sizes, weights, budget * sum(sizes), most)
+        assert [got[n] for n in range(3000)] == pytest.approx(want, rel=1e-9)
+    assert [r["target"] for r in mixing.aimed(rows.filter("size = 0"), 1.0, 3).distinct().select("target").distinct().collect()] == [0.0]
+
+
+def test_very_many_sources(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"), F.lit("two words").alias("text"))
+    mixed = mixing.blend(docs)
+    n, words_taken, most = mixed.agg(F.count("*"), F.sum("taken"), F.max("copies")).first()
+    assert n == 60_000 and abs(words_taken - 2 * 60_000) <= 60_000 and most <= 3
+
+
+def test_rows_that_repeat_an_id_are_dealt_over_blocks(spark):
+    units = spark.range(5000).select(F.when(F.col("id") < 4000, 7).alias("id"), F.lit(0).alias("source_no"), F.lit(5).cast("long").alias("size"), F.lit(0.5).alias("chance"))
+    dealt = mixing.numbered(units, many=64)
+    assert dealt.count() == 5000 == dealt.select("id", "turn").distinct().count()
+    out = mixing.choose(units, block=64)
+    assert {r["id"]: r["n"] for r in out.groupBy("id").agg(F.count("*").alias("n")).collect()} == {7: 4000, None: 1000}
+    assert abs(out.agg(F.sum("chance")).first()[0] - 2500) <= 2
