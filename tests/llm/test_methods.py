@@ -631,3 +631,50 @@ def test_rows_that_repeat_an_id_are_dealt_over_blocks(spark):
     out = mixing.choose(units, block=64)
     assert {r["id"]: r["n"] for r in out.groupBy("id").agg(F.count("*").alias("n")).collect()} == {7: 4000, None: 1000}
     assert abs(out.agg(F.sum("chance")).first()[0] - 2500) <= 2
+
+
+def test_ids_of_any_type_and_shared_ids(spark):
+    texts = ["a b c d e f g", "A b c d e f g", "other words are here now", "a b c d e f g h", None]
+    rows = [(f"id{9 - i}", t) for i, t in enumerate(texts)] + [("id9", "something else that is said once only"), (None, "alone")]
+    got = sorted(((r["doc_id"] or "", r["component_id"] or "", r["kept"]) for r in near_dup.components(spark.createDataFrame(rows, "doc_id string, text string"), k=3).collect()))
+    assert got == [("", "", True), ("id5", "id5", True), ("id6", "id6", True), ("id7", "id7", True), ("id8", "id6", False), ("id9", "id6", False), ("id9", "id9", True)]
+    out = near_dup.dedup(spark.createDataFrame(rows, "doc_id string, text string"), k=3).collect()
+    assert sorted((r["doc_id"] or "", r["text"] or "") for r in out) == sorted([("id5", ""), ("id6", texts[3]), ("id7", texts[2]), ("id9", texts[0]), ("id9", rows[5][1]), ("", "alone")])
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Of all pairs of the table at 80 or more, how many share a component; by the formula at most 7 of 10,000 don't."""
+    from tests.llm.test_queries import shingles
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    sets = {i: shingles(t, 4) for i, t in rows}
+    at: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            at.setdefault(x, []).append(i)
+    common: dict = {}
+    for ids in at.values():
+        for n, a in enumerate(ids if len(ids) < 200 else []):
+            for b in ids[n + 1 :]:
+                common[a, b] = common.get((a, b), 0) + 1
+    pairs = [(a, b) for (a, b) in common if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) >= 0.999 * len(pairs)
+
+
+def test_counted_joins_lose_no_row(spark):
+    from loomgraph.llm.skew import join_counted
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 50).alias("key"), "id")
+    table = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("key <> 7")
+    want = sorted(map(tuple, rows.join(table, "key").select("key", "id", "top").collect()))
+    for least in (10**9, 100, 0):
+        assert sorted(map(tuple, join_counted(rows, table, "key", "n", 3000, least).select("key", "id", "top").collect())) == want
+
+
+def test_very_large_sets_are_compared_exactly():
+    a = np.arange(30_000_000, dtype=np.uint64)
+    b, c = a[:24_000_000], a[:23_999_999]  # 80 of 100, and one short of it
+    assert near_dup.spanning_links([a, b, np.arange(5, dtype=np.uint64)], 80) == [(0, 1)]
+    assert near_dup.spanning_links([a, c, np.arange(5, dtype=np.uint64)], 80) == []
