@@ -213,9 +213,10 @@ def decode(raw: bytes, canvas: bool = True) -> Iterator[Frame]:
             kept = shown.copy() if disposal == 3 else None
             part = shown[top : top + h, left : left + w]
             inside = indices[: part.shape[0], : part.shape[1]]
-            opaque = np.ones(inside.shape, bool) if clear_index is None else inside != clear_index
-            colours = np.dstack([palette[np.minimum(inside, len(palette) - 1)], np.full(inside.shape, 255, np.uint8)])
-            part[opaque] = colours[opaque]
+            colours = np.zeros((256, 4), np.uint8)
+            colours[:, :3], colours[:, 3] = palette[np.minimum(np.arange(256), len(palette) - 1)], 255
+            drawn = colours[inside]
+            np.copyto(part, drawn, where=True if clear_index is None else (inside != clear_index)[..., None])
         yield Frame(delay, shown.copy(), indices, disposal, clear_index)
         if canvas and disposal == 2:
             shown[top : top + h, left : left + w] = 0

@@ -71,23 +71,35 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 
 WIDTH = 64
 FRAME_ROWS = 65535
+CLEAR = 255
 
 
 def _stored(text: str) -> tuple:
-    """A text as a GIF and what is read back from it."""
+    """A text as a GIF of grey samples, and what the canvas shows when that is played.
+
+    The payload is dealt over two frames or more, each cleared away before the next is drawn; the last one is filled
+    up with a transparent index, which UTF-8 never holds as a byte. Samples are read off the opaque parts of what is shown.
+    """
     plain = text.encode("utf-8", "surrogatepass")
     padded = plain + bytes(-len(plain) % WIDTH or (WIDTH if not plain else 0))
     samples = np.frombuffer(padded, np.uint8).reshape(-1, WIDTH)
-    media = gif.encode([(samples[i : i + FRAME_ROWS], 40) for i in range(0, len(samples), FRAME_ROWS)])
-    payload = b"".join(f.indices.tobytes() for f in gif.decode(media, canvas=False))
-    shades = gif.histogram(np.frombuffer(payload, np.uint8))
+    height = min(-(-len(samples) // 2), FRAME_ROWS)
+    filled = np.concatenate([samples, np.full((-len(samples) % height, WIDTH), CLEAR, np.uint8)])
+    media = gif.encode([(filled[i : i + height], 40) for i in range(0, len(filled), height)], disposal=2, transparent=CLEAR)
+    shown, shades, played = [], np.zeros(gif.BINS, np.int64), 0
+    for frame in gif.decode(media):
+        visible = frame.rgba[..., 0][frame.rgba[..., 3] > 0]
+        shades += gif.histogram(visible)
+        played += frame.delay_ms
+        shown.append(visible.tobytes())
+    payload = b"".join(shown)
     return (
         len(plain), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]),
-        len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, shades.tolist())),
+        len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, shades.tolist())), len(shown), played,
     )
 
 
-_STORED = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+_STORED = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("n_frames", "long"), ("shown_ms", "long")]
 
 
 @_query("op4_gif")

@@ -125,6 +125,7 @@ def test_stored_payloads(spark, odd_dir, odd_documents):
         counts = Counter(b >> 4 for b in padded)
         assert r["feature"] == ",".join(str(counts[i]) for i in range(16))
         assert r["media_bytes"] > 800
+        assert (r["n_frames"], r["shown_ms"]) == (min(2, len(padded) // 64), 40 * min(2, len(padded) // 64))
 
 
 def test_main_texts(spark, odd_dir, odd_pages):
