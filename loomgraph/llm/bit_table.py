@@ -8,17 +8,16 @@ be used to keep rows away from a join or an exact check, never in its place.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BITS = 29  # 64 MB
 PER_HASH = 16
+MAX_BUCKETS = 1 << 22
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,37 +48,21 @@ def build(hashes: DataFrame, column: str, count: int | None = None) -> Broadcast
     if n:
         for r in hashes.select(column).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
             out |= np.frombuffer(r["bits"], np.uint8)
-    return _broadcast(hashes.sparkSession, out)
-
-
-def _broadcast(spark: SparkSession, table: np.ndarray) -> Broadcast:
-    return spark.sparkContext.broadcast(table)
-
-
-def passes(table: Broadcast, *hashes: Column) -> Column:
-    """Whether any of the long columns is in the table, or seems to be. Only they go to Python, not the row."""
-
-    @F.pandas_udf("boolean")
-    def test(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = table.value
-        for series in values:
-            found = np.zeros(len(series), bool)
-            found[passing(known, series.to_numpy(np.int64).view(np.uint64))] = True
-            yield pd.Series(found)
-
-    return reduce(lambda a, b: a | b, (test(h) for h in hashes))
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def split(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` that may have a key among ``keys`` (of the same name), and the rest, which surely hasn't.
 
-    So that only the former have to be shuffled for a join.
+    So that only the former have to be shuffled for a join. Told by the bucket of the key's hash: 64 buckets for a key,
+    ``MAX_BUCKETS`` at most, of which those that hold a key are broadcast. Rows never leave the JVM for this.
     """
-    table = build(keys.select(F.xxhash64(column).alias("h")), "h")
+    buckets = min(max(keys.count() * 64, 1 << 10), MAX_BUCKETS)
     taken = {c.lower() for c in rows.columns}
-    may = next(n for k in range(len(taken) + 1) if (n := f"_may{k}") not in taken)
-    marked = rows.withColumn(may, passes(table, F.xxhash64(column)))
-    return marked.filter(may).drop(may), marked.filter(~F.col(may)).drop(may)
+    at = next(n for k in range(len(taken) + 1) if (n := f"_at{k}") not in taken)
+    spot = F.pmod(F.xxhash64(column), F.lit(buckets)).alias(at)
+    held, marked = F.broadcast(keys.select(spot).distinct()), rows.select("*", spot)
+    return marked.join(held, at, "left_semi").drop(at), marked.join(held, at, "left_anti").drop(at)
 
 
 def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:

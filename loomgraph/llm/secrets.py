@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,14 +62,20 @@ def find(text: str) -> list[tuple[str, int, int]]:
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _find_in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(blob, text, spans) of (blob, text, later): what is for later keeps its text and has no spans yet."""
-    for batch in batches:
-        later = batch.column("later").to_pylist()
-        texts = [t.as_py() for t in batch.column("text")]
-        spans = [None if wait else [dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t)] for t, wait in zip(texts, later, strict=True)]
-        kept = [t if wait else None for t, wait in zip(texts, later, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(kept, pa.string()), pa.array(spans, _FOUND)], names=["blob", "text", "spans"])
+def _finder(table=None):
+    """(blob, text, spans) of (blob, text, hashes...): a text whose hashes may be in the table is kept for later, without spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            later = np.zeros(batch.num_rows, bool)
+            for hashes in batch.columns[2:] if table is not None else ():
+                later[bit_table.passing(table.value, hashes.to_numpy().view(np.uint64))] = True
+            texts = [t.as_py() for t in batch.column("text")]
+            spans = [None if wait else [dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t)] for t, wait in zip(texts, later, strict=True)]
+            kept = [t if wait else None for t, wait in zip(texts, later, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(kept, pa.string()), pa.array(spans, _FOUND)], names=["blob", "text", "spans"])
+
+    return run
 
 
 def blob_of(text: str = "text"):
@@ -87,12 +94,13 @@ def update(versions: DataFrame, text: str = "text", ledger: DataFrame | None = N
     marks = cut(marks, "marks")
     table = bit_table.build(marks, "h")
     address = blob_of(text)
-    seen = bit_table.passes(table, F.xxhash64(plain), *([] if known is None else [F.xxhash64(address)]))
-    first = cut(versions.select(address.alias("blob"), plain.alias("text"), seen.alias("later")).mapInArrow(_find_in_batches, f"blob string, text string, spans {SPANS}"), "scanned")
+    kind = f"blob string, text string, spans {SPANS}"
+    hashes = [F.xxhash64(plain).alias("h"), *([] if known is None else [F.xxhash64(address).alias("known")])]
+    first = cut(versions.select(address.alias("blob"), plain.alias("text"), *hashes).mapInArrow(_finder(table), kind), "scanned")
     once = first.filter("spans is null").groupBy("blob").agg(F.first("text").alias("text"))  # copies are dropped before the shuffle
     if known is not None:
         once = once.join(known.distinct(), "blob", "left_anti")
-    found = once.withColumn("later", F.lit(False)).mapInArrow(_find_in_batches, f"blob string, text string, spans {SPANS}")
+    found = once.mapInArrow(_finder(), kind)
     both = first.filter("spans is not null").select("blob", "spans").unionByName(found.select("blob", "spans"))
     out = cut(both.select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
     drop_table(marks, first)

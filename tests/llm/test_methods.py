@@ -489,11 +489,21 @@ def test_bit_tables_lose_no_hash(spark):
     from loomgraph.llm import bit_table
 
     values = spark.range(20_000).select(F.xxhash64("id").alias("h"))
-    table = bit_table.build(values, "h")
-    assert values.filter(~bit_table.passes(table, F.col("h"))).isEmpty()
-    others = spark.range(20_000, 40_000).select(F.xxhash64("id").alias("h"))
-    assert others.filter(bit_table.passes(table, F.col("h"))).count() < 1000
-    assert others.filter(bit_table.passes(bit_table.build(values.limit(0), "h"), F.col("h"))).isEmpty()
+    table = bit_table.build(values, "h").value
+    inside, outside = (np.array([r["h"] for r in spark.range(a, b).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64) for a, b in ((0, 20_000), (20_000, 40_000)))
+    assert len(bit_table.passing(table, inside)) == 20_000 and len(bit_table.passing(table, outside)) < 1000
+    assert len(bit_table.passing(bit_table.build(values.limit(0), "h").value, outside)) == 0
+
+
+def test_splits_and_anti_joins_lose_no_row(spark):
+    from loomgraph.llm import bit_table
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 997).alias("k"), F.lit("own").alias("_at0"), "id")
+    keys = rows.filter("k % 7 = 0").select("k").distinct()
+    near, far = bit_table.split(rows, keys, "k")
+    assert near.columns == rows.columns and near.count() + far.count() == 5000 and far.join(keys, "k").isEmpty() and far.count() > 3000
+    got = sorted(r["id"] for r in bit_table.without(rows, keys, "k").collect())
+    assert got == sorted(r["id"] for r in rows.filter("k is null or k % 7 <> 0").collect())
 
 
 @pytest.mark.parametrize("length, replaced, least", [(6, 1, 1.0), (7, 1, 1.0), (9, 1, 1.0), (10, 1, 0.95), (12, 1, 0.95), (12, 2, 0.9), (15, 2, 0.95), (15, 3, 0.9), (20, 3, 0.95), (20, 4, 0.95), (30, 6, 0.95)])
