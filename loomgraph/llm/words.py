@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -90,7 +90,8 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
     """The words of a string column, document by document in order."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
     n = len(column)
     if not n:
         return
@@ -103,6 +104,7 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
         hi = min(max(hi, lo + 1), n)
         yield Words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # a worker waits for its next task with what it keeps here
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
