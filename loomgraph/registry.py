@@ -6,7 +6,7 @@ import inspect
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import quality, scalars
@@ -18,15 +18,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Edge lists (umi1, umi2): sparse order-part with many small components, and whole; customer-supplier, bipartite and weighted;
-# events by user and slot, with self-loops.
+# events by user and slot, with self-loops; customers in cliques of ten, each tied to the next by one edge, so that communities are known.
 VIEWS = {
     "order_part": "select l_orderkey * 2 as umi1, l_partkey * 2 + 1 as umi2 from lineitem where l_returnflag = 'R' and l_quantity >= 45",
     "order_part_whole": "select l_orderkey * 2 as umi1, l_partkey * 2 + 1 as umi2 from lineitem",
     "cust_supp": "select o_custkey * 2 as umi1, l_suppkey * 2 + 1 as umi2 from orders join lineitem on o_orderkey = l_orderkey",
     "user_slot": "select user_id as umi1, event_id % 97 as umi2 from events",
+    "planted": "select a.c_custkey as umi1, b.c_custkey as umi2 from customer a join customer b on a.c_custkey // 10 = b.c_custkey // 10 where a.c_custkey < b.c_custkey"
+    " union all select a.c_custkey, b.c_custkey from customer a join customer b on a.c_custkey + 1 = b.c_custkey where a.c_custkey % 10 = 9",
 }
 
 
+def _clique(id: Column, of: int) -> Column:
+    return F.floor(id / of)
+
+
 def pairs(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if view == "order_part":
@@ -37,6 +43,11 @@ def pairs(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     if view == "cust_supp":
         both = read("orders").join(read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
         return both.select((F.col("o_custkey") * 2).alias("umi1"), (F.col("l_suppkey") * 2 + 1).alias("umi2"))
+    if view == "planted":
+        ids = read("customer").select(F.col("c_custkey").cast("long").alias("id"))
+        one, two = (ids.select(F.col("id").alias(c), _clique(F.col("id"), 10).alias("clique")) for c in ("umi1", "umi2"))
+        bridges = one.filter("umi1 % 10 = 9").join(two, F.col("umi1") + 1 == F.col("umi2"))
+        return one.join(two, "clique").filter("umi1 < umi2").select("umi1", "umi2").unionAll(bridges.select("umi1", "umi2"))
     return read("events").select(F.col("user_id").alias("umi1"), (F.col("event_id") % 97).alias("umi2"))
 
 
@@ -477,3 +488,45 @@ def _(spark, d, view="order_part"):
     cut_off = statistics.crossing_weight(edges, found.labels)
     total = graph.totals(edges)
     return found.after_recovery.join(cut_off).join(total).select("node_count", (F.col("edge_weight_sum") + F.col("crossing_edge_weight") == F.col("total_edge_weight")).alias("weight_kept"))
+
+
+# On cliques of ten with one edge between neighbours the communities are known: SQL names them, and singlets, one
+# community for all and connected components (there is one) all fail.
+_PLANTED = _sql("planted", "select id, min(id) over (partition by id // 10) as pid from v")
+
+
+@_query("planted_leiden_cpm", _PLANTED)
+def _(spark, d):
+    last = leiden.leiden(leiden.start(_edges(spark, d, "planted"), 0.2, quality.CPM, seed=7), randomness=1.0)
+    return partitions.canonical(last.labels())
+
+
+@_query("planted_refinement", _sql("planted", "select id, min(id) over (partition by id // 2) as pid from v"))
+def _(spark, d):
+    edges = _edges(spark, d, "planted")
+    twos = graph.vertices(edges).select("id", _clique(F.col("id"), 2).alias("pid"))
+    return leiden.refine(leiden.start(edges, 0.2, quality.CPM, twos, seed=7), randomness=1.0).select("id", F.col("refined").alias("pid"))
+
+
+# A draw in label propagation may give two neighbouring cliques one label, so these count: one label in every clique, and
+# labels for at least four cliques in five. The resolution of the hybrid's modularity grows with the graph, as the best
+# partition at a fixed one merges cliques once there are many.
+_WHOLE_CLIQUES = _sql("planted", "select id // 10 as clique, count(*)::bigint as nodes, 1::bigint as n_labels, true as told_apart from v group by 1")
+
+
+def _cliques(labels: DataFrame) -> DataFrame:
+    tagged = labels.select(_clique(F.col("id"), 10).alias("clique"), "pid")
+    apart = tagged.agg((F.count_distinct("pid") >= 0.8 * F.count_distinct("clique")).alias("told_apart"))
+    each = tagged.groupBy("clique").agg(F.count("*").alias("nodes"), F.count_distinct("pid").alias("n_labels"))
+    return each.join(F.broadcast(apart))  # one row
+
+
+@_query("planted_label_propagation", _WHOLE_CLIQUES)
+def _(spark, d):
+    return _cliques(label_propagation.fast_label_propagation(_edges(spark, d, "planted"), epochs=1, seed=7))
+
+
+@_query("planted_hybrid", _WHOLE_CLIQUES)
+def _(spark, d):
+    edges = _edges(spark, d, "planted")
+    return _cliques(hybrid.detect(edges, graph.vertices(edges).count() / 100, recover=True, seed=7).labels)

@@ -9,7 +9,7 @@ import pytest
 from loomgraph import registry
 
 DATA = os.environ.get("LOOMGRAPH_TEST_DATA", "/root/testdata/sf0.001")
-TABLES = ("lineitem", "orders", "events", "nation", "region")
+TABLES = ("lineitem", "orders", "customer", "events", "nation", "region")
 
 
 @pytest.fixture(scope="module")
