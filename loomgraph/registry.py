@@ -501,6 +501,14 @@ def _(spark, d):
     return partitions.canonical(last.labels())
 
 
+# The resolution is the number of vertices by 100, as with the hybrid below: then the cliques are the best partition at any size.
+@_query("planted_leiden_modularity", _PLANTED)
+def _(spark, d):
+    edges = _edges(spark, d, "planted")
+    last = leiden.leiden(leiden.start(edges, graph.vertices(edges).count() / 100, quality.MODULARITY, seed=7), randomness=1.0)
+    return partitions.canonical(last.labels())
+
+
 @_query("planted_refinement", _sql("planted", "select id, min(id) over (partition by id // 2) as pid from v"))
 def _(spark, d):
     edges = _edges(spark, d, "planted")
