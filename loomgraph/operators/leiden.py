@@ -114,7 +114,8 @@ def move_nodes(level: Level, rounds: int = MOVE_ROUNDS) -> Level:
 def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -> DataFrame:
     """(id, refined): well-connected singletons merged into well-connected subcommunities of their community.
 
-    In each round a seeded coin says which singletons may move and which may be joined, so two never swap. Rounds
+    In each round those singletons move that may join a community of several, as such a community stays where it is;
+    of the others a seeded coin says which move. What doesn't move may be joined, so two never swap. Rounds
     end when no singleton has an eligible community to join. Nodes are named by a community's smallest id.
     """
     base = cut(level.nodes.select("id", "weight", F.col("pid").alias("super")), "super")
@@ -129,13 +130,13 @@ def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -
         counts = now.groupBy("pid").agg(F.count("*").alias("_n"))
         alone = counts.filter("_n = 1").select(F.col("pid").alias("id"))
         movers = steady.join(alone, "id", "left_semi")
-        hosts = quality.well_connected_communities(inner, now, level.g)
+        hosts = quality.well_connected_communities(inner, now, level.g).join(counts, "pid")
         options = quality.contributions(inner, now.select("id", "weight", "pid"), level.g).filter("pid <> own").withColumn("gain", F.col("contrib") + F.col("loss")).filter(F.col("gain") > 0)
-        options = cut(options.join(movers, "id", "left_semi").join(hosts, "pid", "left_semi").select("id", "pid", "gain"), "options")
+        options = cut(options.join(movers, "id", "left_semi").join(hosts, "pid").select("id", "pid", "gain", (F.col("_n") > 1).alias("several")), "options")
         if options.isEmpty():
             return now.select("id", F.col("pid").alias("refined"))
-        still = counts.filter((F.col("_n") > 1) | (coin("pid") == 1)).select("pid")
-        options = options.filter(coin("id") == 0).join(still, "pid", "left_semi")
+        moving = options.groupBy("id").agg(F.max("several").alias("_settled")).filter(F.col("_settled") | (coin("id") == 0)).select("id")
+        options = options.join(moving, "id", "left_semi").join(moving.withColumnRenamed("id", "pid"), "pid", "left_anti")
         total = options.groupBy("id").agg(F.sum("gain").alias("_total"))
         u = (F.pmod(F.xxhash64("id", "pid", F.lit(salt)), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
         draw = F.log(u) / F.pow(F.col("gain") / F.col("_total"), F.lit(float(randomness)))
