@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, and the SQL that some of them are held against."""
+"""The thin queries of the operators, and the SQL that some of them are held against."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, gif, html_text, mixing, near_dup, pii, quality, secrets, toxicity, url_filter
+from loomgraph.llm import decontaminate, gif, html_text, manifest, mixing, near_dup, pii, quality, runs, secrets, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined("spans", pii.BASE_KINDS), 256).alias("base_sha256"),
         pii.joined("spans", pii.KINDS).alias("spans"),
     )
+
+
+@_query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
+
+
+def _checksum():
+    """Of the decimal id; null for a row without one."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts is made periodic from some word on before the runs are looked for."""
+    g = F.floor(F.col("h") / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", _checksum().alias("h"))
+    chosen = documents.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words").cast("long"))
+    planned = chosen.withColumn("a", F.when(F.col("n") > 0, g % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    altered = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int"))), " ")
+    found = runs.periodic(planned.select("doc_id", F.when(F.col("a").isNotNull(), altered).otherwise(F.col("text")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    top = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query("op13_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are verified after half of them, by their ids, have lost the line breaks of their text."""
+    documents = _table(spark, sf_dir, "documents").select(*manifest.COLUMNS)
+    tampered = F.when((_checksum() % 2 == 0) & F.contains("text", F.lit("\n")), manifest.leaf(*(F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in manifest.COLUMNS)))
+    whole = manifest.leaf(*(F.col(c) for c in manifest.COLUMNS))
+    hashed = documents.select("doc_id", "source", whole.alias("own"), tampered.alias("tampered"))
+    found = manifest.manifest(hashed, digest=F.col("own"), keep=("tampered",))
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    folded = found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), manifest.fold("path", F.coalesce("tampered", "leaf")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -41,14 +41,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Which bytes are part of a word."""
+    return _IS_WORD[data]
+
+
 class Words:
     """The words of a run of documents: ``hashes``, byte spans ``starts``/``ends`` in ``data``, and
     ``first``, where the words of document i begin (``first[i]:first[i + 1]``)."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lo: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lo: int, hashed: bool = True):
         self.data, self.lo = data, lo
         docs = len(bounds) - 1
-        word = _IS_WORD[data]
+        word = is_word(data)
         start, end = word.copy(), word.copy()
         if len(data):
             start[1:] &= ~word[:-1]
@@ -60,7 +65,7 @@ class Words:
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, bounds)
-        self.hashes = self._hashed(word)
+        self.hashes = self._hashed(word) if hashed else None
         self.docs = docs
 
     def _hashed(self, word: np.ndarray) -> np.ndarray:
@@ -86,8 +91,8 @@ class Words:
         return np.repeat(np.arange(self.docs), np.diff(self.first))
 
 
-def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
-    """The words of a string column, document by document in order."""
+def chunks(column: pa.Array | pa.ChunkedArray, hashed: bool = True) -> Iterator[Words]:
+    """The words of a string column, document by document in order, with or without hashes of them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     column = column.cast(pa.large_string())
@@ -102,7 +107,7 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
     while lo < n:
         hi = int(np.searchsorted(bounds, bounds[lo] + CHUNK, "right")) - 1
         hi = min(max(hi, lo + 1), n)
-        yield Words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], lo)
+        yield Words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], lo, hashed)
         lo = hi
     pa.default_memory_pool().release_unused()  # a worker waits for its next task with what it keeps here
 
