@@ -1,12 +1,7 @@
 """Leiden community detection in distributed rounds.
 
-A level is local moving, refinement and contraction. Moves are evaluated for all nodes at once; those are made
-together that no stronger move runs counter to, so no two nodes swap. If Q doesn't rise by that, only moves are
-made that touch no community of another, whose gains add up exactly. So Q never falls, and no component
-or community is gathered in a task. Refinement merges well-connected singletons within each community in such
-rounds too, choosing among options by weight with a seeded draw. All draws hang on ids, level, round and seed.
-
-``randomness`` is the exponent on an option's share of the gains: 0 draws evenly, a large value takes the best.
+A level is local moving (``moving``), refinement (``refining``) and contraction. Q never falls, and no component
+or community is gathered in a task. All draws hang on ids, level, round and seed.
 """
 
 from __future__ import annotations
@@ -18,14 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import quality
-from loomgraph.operators import graph, partitions
+from loomgraph.operators import graph, moving, partitions, refining
 from loomgraph.operators.components import connected_components
 from loomgraph.sessions import cut
 
-TINY = 1e-9
-#: Safety limits: loops end where nothing is left to do, and raise if they get this far.
-MOVE_ROUNDS = 10_000
-REFINE_ROUNDS = 1_000
+#: A safety limit: the loop ends where nothing is left to do, and raises if it gets this far.
 LEVELS = 1_000
 
 
@@ -49,13 +41,15 @@ class Level:
 
 
 def start(edges: DataFrame, gamma: float, objective: quality.Objective = quality.MODULARITY, labels: DataFrame | None = None, ids: DataFrame | None = None, seed: int = 0) -> Level:
-    """The first level, from singlets or from ``labels``, which have to cover every vertex."""
+    """The first level, from singlets or from ``labels``, which have to name every vertex once."""
     edges = cut(edges, "edges")
     ids = cut(graph.vertices(edges) if ids is None else ids, "vertices")
     g = objective.scaled(gamma, graph.totals(edges).first()["total_edge_weight"])
     own = partitions.singlets(ids) if labels is None else partitions.canonical(labels.select("id", "pid"))
     if labels is not None and not ids.join(own, "id", "left_anti").isEmpty():
         raise ValueError("the partition doesn't cover every vertex")
+    if labels is not None and not own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("the partition has vertices more than once")
     nodes = objective.node_sizes(edges, ids).join(own, "id").select("id", "weight", "pid")
     return Level(edges, cut(nodes, "nodes"), ids.select(F.col("id").alias("orig"), "id"), g, seed)
 
@@ -64,88 +58,15 @@ def _salt(level: Level, turn: int) -> int:
     return (level.seed * 1_000_003 + level.number * 10_007 + turn) & 0x7FFFFFFF
 
 
-def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    """Nodes after ``moves(id, target)``; a null target is a community of its own. Pids become smallest members."""
-    new = nodes.join(moves.select("id", "target", F.lit(True).alias("_moves")), "id", "left")
-    pid = F.when(F.col("_moves"), F.coalesce("target", -F.col("id") - 1)).otherwise(F.col("pid"))
-    named = new.select("id", "weight", pid.alias("pid"))
-    least = named.groupBy("pid").agg(F.min("id").alias("_least"))
-    return named.join(least, "pid").select("id", "weight", F.col("_least").alias("pid"))
-
+def move_nodes(level: Level, rounds: int = moving.ROUNDS) -> tuple[Level, float]:
+    """The level after rounds of moves until none gains, and what they have added to Q."""
+    nodes, added = moving.settle(level.edges, level.nodes, level.g, _salt(level, 0), rounds)
+    return replace(level, nodes=nodes), added
 
-def _open(gains: DataFrame, salt: int) -> DataFrame:
-    """(id, target, open, alone): which moves can be made at once.
 
-    A move's priority is its gain, then a seeded hash. ``open``: nothing of higher priority leaves the target or
-    enters the community that is left. ``alone``: no other move touches either, so the gains of all such moves
-    add up exactly.
-    """
-    moves = gains.select("id", "own", "target", F.struct("gain", F.xxhash64("id", F.lit(salt)).alias("tie"), "id").alias("first"))
-    leaving = moves.groupBy(F.col("own").alias("pid")).agg(F.max("first").alias("out"))
-    entering = moves.filter("target is not null").groupBy(F.col("target").alias("pid")).agg(F.max("first").alias("into"))
-    touched = leaving.join(entering, "pid", "full")
-    here = touched.select(F.col("pid").alias("own"), F.col("into").alias("own_into"), F.greatest("out", "into").alias("own_top"))
-    there = touched.select(F.col("pid").alias("target"), F.col("out").alias("target_out"), F.greatest("out", "into").alias("target_top"))
-    both = moves.join(here, "own", "left").join(there, "target", "left")
-    top = lambda c: F.col(c).isNull() | (F.col("first") >= F.col(c))
-    return both.select("id", "target", (top("own_into") & top("target_out")).alias("open"), (top("own_top") & top("target_top")).alias("alone"))
-
-
-def move_nodes(level: Level, rounds: int = MOVE_ROUNDS) -> Level:
-    """Rounds of moves until none gains: all open ones if that raises Q, else those that touch nothing of each other.
-
-    Of the latter there is always one, the move of highest priority, so Q rises in every round.
-    """
-    now = level.quality()
-    for turn in range(rounds):
-        gains = quality.best_moves(level.edges, level.nodes, level.g).filter(F.col("gain") > TINY)
-        moves = cut(_open(cut(gains, "gains"), _salt(level, turn)), "moves")
-        if moves.isEmpty():
-            return level
-        trial = replace(level, nodes=cut(_moved(level.nodes, moves.filter("open")), "nodes"))
-        then = trial.quality()
-        if then <= now + TINY:
-            trial = replace(level, nodes=cut(_moved(level.nodes, moves.filter("alone")), "nodes"))
-            then = trial.quality()
-        level, now = trial, then
-    raise RuntimeError(f"moves that gain are left after {rounds} rounds")
-
-
-def refine(level: Level, randomness: float = 0.1, rounds: int = REFINE_ROUNDS) -> DataFrame:
-    """(id, refined): well-connected singletons merged into well-connected subcommunities of their community.
-
-    In each round those singletons move that may join a community of several, as such a community stays where it is;
-    of the others a seeded coin says which move. What doesn't move may be joined, so two never swap. Rounds
-    end when no singleton has an eligible community to join. Nodes are named by a community's smallest id.
-    """
-    base = cut(level.nodes.select("id", "weight", F.col("pid").alias("super")), "super")
-    steady = cut(quality.well_connected_nodes(level.edges, base, level.g), "steady")
-    one = base.select(F.col("id").alias("src"), F.col("super").alias("s1"))
-    two = base.select(F.col("id").alias("dst"), F.col("super").alias("s2"))
-    inner = cut(level.edges.join(one, "src").join(two, "dst").filter("s1 = s2").select("src", "dst", "weight"), "inner")
-    now = base.select("id", "weight", "super", F.col("id").alias("pid"))
-    for turn in range(rounds):
-        salt = _salt(level, 5000 + turn)
-        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2))  # noqa: E731, B023
-        counts = now.groupBy("pid").agg(F.count("*").alias("_n"))
-        alone = counts.filter("_n = 1").select(F.col("pid").alias("id"))
-        movers = steady.join(alone, "id", "left_semi")
-        hosts = quality.well_connected_communities(inner, now, level.g).join(counts, "pid")
-        options = quality.contributions(inner, now.select("id", "weight", "pid"), level.g).filter("pid <> own").withColumn("gain", F.col("contrib") + F.col("loss")).filter(F.col("gain") > 0)
-        options = cut(options.join(movers, "id", "left_semi").join(hosts, "pid").select("id", "pid", "gain", (F.col("_n") > 1).alias("several")), "options")
-        if options.isEmpty():
-            return now.select("id", F.col("pid").alias("refined"))
-        moving = options.groupBy("id").agg(F.max("several").alias("_settled")).filter(F.col("_settled") | (coin("id") == 0)).select("id")
-        options = options.join(moving, "id", "left_semi").join(moving.withColumnRenamed("id", "pid"), "pid", "left_anti")
-        total = options.groupBy("id").agg(F.sum("gain").alias("_total"))
-        u = (F.pmod(F.xxhash64("id", "pid", F.lit(salt)), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
-        draw = F.log(u) / F.pow(F.col("gain") / F.col("_total"), F.lit(float(randomness)))
-        choice = options.join(total, "id").groupBy("id").agg(F.max(F.struct(draw.alias("d"), "pid")).alias("c")).select("id", F.col("c.pid").alias("target"))
-        choice = cut(choice, "merges")
-        now = now.join(choice, "id", "left").select("id", "weight", "super", F.coalesce("target", "pid").alias("pid"))
-        least = now.groupBy("pid").agg(F.min("id").alias("_least"))
-        now = cut(now.join(least, "pid").select("id", "weight", "super", F.col("_least").alias("pid")), "refined")
-    raise RuntimeError(f"eligible singletons are left after {rounds} rounds")
+def refine(level: Level, randomness: float = 0.1, rounds: int = refining.ROUNDS) -> DataFrame:
+    """(id, refined): well-connected singletons merged into well-connected parts of their community, named by the smallest id."""
+    return refining.refine(level.edges, level.nodes, level.g, randomness, _salt(level, 5000), rounds)
 
 
 def aggregate(level: Level, refined: DataFrame | None = None) -> Level:
@@ -171,14 +92,11 @@ def leiden(level: Level, randomness: float = 0.1, max_iteration: int | None = No
             break
         if number == LEVELS:
             raise RuntimeError(f"no fixed point after {LEVELS} levels")
-        level = move_nodes(level)
+        level, added = move_nodes(level)
         n, k = level.nodes.agg(F.count("*"), F.count_distinct("pid")).first()
-        if n == k:
-            break
-        state = (n, k, round(level.quality(), 9))
-        if state == before:
+        if n == k or (added <= moving.TINY and (n, k) == before):
             break
-        before = state
+        before = n, k
         level = aggregate(level, refine(level, randomness))
     level = aggregate(level)
     if absolute is not None or relative is not None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import quality, scalars
-from loomgraph.operators import graph, label_propagation, leiden, partitions, statistics
+from loomgraph.operators import graph, label_propagation, leiden, moving, partitions, statistics
 from loomgraph.sources import edges as sources
 
 TWO_TRIANGLES = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3)]
@@ -113,8 +113,8 @@ def test_refinement_merges_every_eligible_pair(spark):
 def test_rounds_end_where_nothing_is_left_or_raise(spark):
     edges = edges_of(spark, TWO_COMMUNITIES)
     level = leiden.start(edges, 0.5, quality.CPM, seed=1)
-    done = leiden.move_nodes(level)
-    assert quality.best_moves(done.edges, done.nodes, done.g).filter(F.col("gain") > leiden.TINY).isEmpty()
+    done, _ = leiden.move_nodes(level)
+    assert quality.best_moves(done.edges, done.nodes, done.g).filter(F.col("gain") > moving.TINY).isEmpty()
     with pytest.raises(RuntimeError, match="moves that gain are left"):
         leiden.move_nodes(level, rounds=1)
     singlets = partitions.singlets(graph.vertices(edges))
