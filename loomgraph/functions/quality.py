@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scalars import is_close
 from loomgraph.operators import graph
 
 
@@ -69,6 +70,17 @@ def contributions(edges: DataFrame, nodes: DataFrame, g: float) -> DataFrame:
     return near.join(s, "pid").join(base, "id").select("id", "own", "pid", (F.col("w") - F.lit(g) * F.col("k") * F.col("s")).alias("contrib"), "loss")
 
 
+def near_best(options: DataFrame) -> DataFrame:
+    """(id, pid, contrib) of ``options(id, pid, contrib)``: the largest pid among those whose contribution is the largest, or as good as that.
+
+    Two argmax steps: the largest contribution of each node, then the largest pid within the tolerance of ``is_close`` of it.
+    """
+    top = options.groupBy("id").agg(F.max("contrib").alias("_top"))
+    close = options.join(top, "id").filter(is_close(F.col("contrib"), F.col("_top")))
+    best = close.groupBy("id").agg(F.max(F.struct("pid", "contrib")).alias("_best"))
+    return best.select("id", "_best.pid", "_best.contrib")
+
+
 def best_moves(edges: DataFrame, nodes: DataFrame, g: float) -> DataFrame:
     """(id, own, target, gain): the best community for each node with a neighbour other than itself.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import join_counted
 from loomgraph.sessions import cut, drop_table
 
 MAX_ROUNDS = 60
@@ -15,8 +16,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
 
     Every round hangs each vertex on the smallest vertex among its neighbours and itself (large star: the
     larger neighbours; small star: the smaller ones), so a chain of length n is done in O(log n) rounds or
-    so, and a hub's neighbours are only ever aggregated to a minimum and joined back, never gathered. The
-    edge set doesn't grow. Rounds end when it stays the same. Each round's edges are a table in the shared
+    so, and a hub's neighbours are only ever aggregated to a minimum, never gathered; it reaches the rows of a hub by
+    broadcast, where they are, and those of other vertices by shuffle (``join_counted``). The edge set doesn't grow. Rounds end when it stays the same. Each round's edges are a table in the shared
     folder; the one before is deleted. Vertices without edges come from ``vertices`` (column ``id``).
     Self-loops keep their vertex. Null endpoints are refused: an edge to nowhere is an input error.
     """
@@ -26,10 +27,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
     if vertices is not None:
         ids = ids.union(vertices.select("id"))
     now = cut(pairs.filter("u <> v").distinct(), "stars")
-    before = None
+    before, n = None, now.count()
     for _ in range(MAX_ROUNDS):
-        after = cut(_small_star(_large_star(now)), "stars")
+        after = cut(_small_star(_large_star(now, n), n), "stars")
         key = _digest(after)
+        n = key[0]
         drop_table(now)
         now = after
         if key == before:
@@ -47,16 +49,16 @@ def _digest(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.bit_xor(mixed), F.sum(F.shiftright(mixed, 24))).first())
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
-    """Each neighbour larger than u is hung on the smallest of u and its neighbours."""
+def _large_star(pairs: DataFrame, n: int) -> DataFrame:
+    """Each neighbour larger than u is hung on the smallest of u and its neighbours. n: about how many pairs there are."""
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    hung = both.filter("v > u").join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    hung = join_counted(both.filter("v > u"), least, "u", "n", 2 * n)
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, n: int) -> DataFrame:
     """u and each neighbour smaller than it are hung on the smallest of them."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    hung = pairs.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hung = join_counted(pairs, least, "u", "n", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()

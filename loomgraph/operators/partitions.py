@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.skew import join_counted
 from loomgraph.sessions import cut
 
 
@@ -71,15 +72,15 @@ def dense_ids(rows: DataFrame, key: str, into: str) -> DataFrame:
 
 def canonical(labels: DataFrame) -> DataFrame:
     """Each pid replaced by the smallest id in it."""
-    least = labels.groupBy("pid").agg(F.min("id").alias("_least"))
-    return labels.join(least, "pid").select("id", F.col("_least").alias("pid"))
+    least = labels.groupBy("pid").agg(F.min("id").alias("_least"), F.count("*").alias("_n"))
+    return join_counted(labels, least, "pid", "_n", labels.count()).select("id", F.col("_least").alias("pid"))
 
 
 def normalize(labels: DataFrame) -> DataFrame:
     """Pids 0 .. k-1 in the order of their smallest member."""
-    least = labels.groupBy("pid").agg(F.min("id").alias("_least"))
-    numbered = dense_ids(least, "_least", "_new").select("pid", "_new")
-    return labels.join(numbered, "pid").select("id", F.col("_new").alias("pid"))
+    least = labels.groupBy("pid").agg(F.min("id").alias("_least"), F.count("*").alias("_n"))
+    numbered = dense_ids(least, "_least", "_new").select("pid", "_n", "_new")
+    return join_counted(labels, numbered, "pid", "_n", labels.count()).select("id", F.col("_new").alias("pid"))
 
 
 def is_normalized(labels: DataFrame) -> DataFrame:

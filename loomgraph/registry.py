@@ -83,8 +83,16 @@ _CC = (
 )
 
 
-def _query(name: str, sql: str | None = None):
-    """Registers a query; one that takes a ``view`` also as NAME_whole over all rows, without SQL where that is recursive and so too slow."""
+def _reach(edges: str) -> tuple[str, str]:
+    """The same as ``_CC`` over (src, dst) rows of a table: a label is replaced where a smaller one arrives, so it ends soon on whole tables."""
+    return (
+        f"reached(id, label) using key (id) as (select id, id from v union select f.dst, min(c.label) from reached c join {edges} f on f.src = c.id join recurring.reached r on r.id = f.dst where c.label < r.label group by f.dst)",
+        "cc as (select id, label as component from reached)",
+    )
+
+
+def _query(name: str, sql: str | None = None, whole: str | None = None):
+    """Registers a query; one that takes a ``view`` also as NAME_whole over all rows, with ``whole`` as SQL where that of the thin one is recursive."""
 
     def keep(f):
         QUERIES[name] = f
@@ -92,7 +100,9 @@ def _query(name: str, sql: str | None = None):
             ORACLES[name] = sql
         if "view" in inspect.signature(f).parameters:
             QUERIES[f"{name}_whole"] = partial(f, view="order_part_whole")
-            if sql is not None and not sql.startswith("with recursive"):
+            if whole is not None:
+                ORACLES[f"{name}_whole"] = whole
+            elif sql is not None and not sql.startswith("with recursive"):
                 ORACLES[f"{name}_whole"] = sql.replace(VIEWS["order_part"], VIEWS["order_part_whole"])
         return f
 
@@ -172,7 +182,7 @@ def _(spark, d, view="order_part"):
     return graph.decode_edges(graph.encode_edges(raw, mapping), mapping)
 
 
-@_query("connected_components", _sql("order_part", *_CC, "select id, component from cc", recursive=True))
+@_query("connected_components", _sql("order_part", *_CC, "select id, component from cc", recursive=True), _sql("order_part_whole", *_reach("a"), "select id, component from cc", recursive=True))
 def _(spark, d, view="order_part"):
     edges = _edges(spark, d, view)
     return components.connected_components(edges)
@@ -186,20 +196,22 @@ def _(spark, d):
     return graph.components_by(_edges(spark, d, "user_slot"), (F.col("weight") >= 2) & (F.col("src") % 3 == F.col("dst") % 3))
 
 
-@_query("component_size_distribution", _sql("order_part", *_CC, "s as (select count(*)::bigint as size from cc group by component)", "select size, count(*)::bigint as count from s group by size", recursive=True))
+_SIZES = ("s as (select count(*)::bigint as size from cc group by component)", "select size, count(*)::bigint as count from s group by size")
+
+
+@_query("component_size_distribution", _sql("order_part", *_CC, *_SIZES, recursive=True), _sql("order_part_whole", *_reach("a"), *_SIZES, recursive=True))
 def _(spark, d, view="order_part"):
     found = components.connected_components(_edges(spark, d, view))
     return statistics.size_distribution(found.groupBy("component").agg(F.count("*").alias("size")))
 
 
-@_query(
-    "graph_properties",
-    _sql(
-        "order_part", *_CC, "s as (select count(*)::bigint as size from cc group by component)", "h as (select size, count(*)::bigint as n from s group by size)",
-        "select sum(size * n)::bigint as node_count, (select sum(weight)::bigint from e) as edge_weight_sum, sum(n)::bigint as n_connected_components, round(max(size) / sum(size * n), 9) as fraction_in_largest_component, coalesce(sum(size * n) filter (size < 8), 0)::bigint as stranded_nodes, string_agg(size || ':' || n, ',' order by size) as component_size_distribution from h",
-        recursive=True,
-    ),
-)
+_PROPERTIES = (
+    "s as (select count(*)::bigint as size from cc group by component)", "h as (select size, count(*)::bigint as n from s group by size)",
+    "select sum(size * n)::bigint as node_count, (select sum(weight)::bigint from e) as edge_weight_sum, sum(n)::bigint as n_connected_components, round(max(size) / sum(size * n), 9) as fraction_in_largest_component, coalesce(sum(size * n) filter (size < 8), 0)::bigint as stranded_nodes, string_agg(size || ':' || n, ',' order by size) as component_size_distribution from h",
+)
+
+
+@_query("graph_properties", _sql("order_part", *_CC, *_PROPERTIES, recursive=True), _sql("order_part_whole", *_reach("a"), *_PROPERTIES, recursive=True))
 def _(spark, d, view="order_part"):
     found = statistics.graph_properties(_edges(spark, d, view), stranded_below=8)
     return found.withColumns({"component_size_distribution": statistics.distribution_text(F.col("component_size_distribution")), "fraction_in_largest_component": F.round("fraction_in_largest_component", 9)})
@@ -237,7 +249,7 @@ def _(spark, d):
     return label_propagation.synchronous_rounds(edges, partitions.singlets(graph.vertices(edges)), 3)
 
 
-@_query("clean_partitions", _sql("order_part", "f2 as (select src, dst from a where src % 4 // 2 = dst % 4 // 2)", "reach(id, label) as (select id, id from v union select f2.dst, reach.label from reach join f2 on f2.src = reach.id where reach.label < f2.dst)", "select id, min(label) as pid from reach group by id", recursive=True))
+@_query("clean_partitions", _sql("order_part", "f2 as (select src, dst from a where src % 4 // 2 = dst % 4 // 2)", "reach(id, label) as (select id, id from v union select f2.dst, reach.label from reach join f2 on f2.src = reach.id where reach.label < f2.dst)", "select id, min(label) as pid from reach group by id", recursive=True), _sql("order_part_whole", "f2 as (select src, dst from a where src % 4 // 2 = dst % 4 // 2)", *_reach("f2"), "select id, component as pid from cc", recursive=True))
 def _(spark, d, view="order_part"):
     edges = _edges(spark, d, view)
     labels = graph.vertices(edges).select("id", F.floor(F.col("id") % 4 / 2).alias("pid"))
@@ -538,3 +550,55 @@ def _(spark, d):
 def _(spark, d):
     edges = _edges(spark, d, "planted")
     return _cliques(hybrid.detect(edges, graph.vertices(edges).count() / 100, recover=True, seed=7).labels)
+
+
+@_query("planted_hybrid_refined", _WHOLE_CLIQUES)
+def _(spark, d):
+    edges = _edges(spark, d, "planted")
+    return _cliques(hybrid.detect(edges, graph.vertices(edges).count() / 100, recover=True, seed=7, refined=True).labels)
+
+
+@_query("adjacency_packed", _sql("user_slot", "select src, dst, weight from a"))
+def _(spark, d):
+    return graph.unpacked(graph.packed_adjacency(_edges(spark, d, "user_slot"), chunk=16))
+
+
+_CELLS = "c as (select l_partkey * 2 + 1 as i, l_suppkey * 2 as j, count(*)::bigint as weight from lineitem group by 1, 2)"
+
+
+@_query("graph_from_matrix", f"with {_CELLS} select least(i, j) as src, greatest(i, j) as dst, weight from c")
+def _(spark, d):
+    cells = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_partkey") * 2 + 1).alias("i"), (F.col("l_suppkey") * 2).alias("j")).agg(F.count("*").alias("weight"))
+    return graph.from_matrix(cells.unionByName(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight")))
+
+
+@_query(
+    "ids_by_first_appearance",
+    "with r as (select l_orderkey, l_partkey, row_number() over () as n from lineitem), p as (select l_orderkey as id, n * 2 as place from r union all select l_partkey, n * 2 + 1 from r), f as (select id, min(place) as place from p group by id) select id, (row_number() over (order by place) - 1)::bigint as idx from f",
+)
+def _(spark, d):
+    return graph.first_appearances(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_partkey")
+
+
+@_query(
+    "bfs_levels",
+    _sql("order_part_whole", "b(id, hop) using key (id) as (select id, 0::bigint from v where id % 1000 = 0 union select a.dst, min(b.hop) + 1 from b join a on a.src = b.id left join recurring.b r on r.id = a.dst where r.id is null group by a.dst)", "select id, hop from b", recursive=True),
+)
+def _(spark, d):
+    edges = _edges(spark, d, "order_part_whole")
+    return graph.bfs_levels(edges, graph.vertices(edges).filter("id % 1000 = 0"))
+
+
+@_query("bfs_levels_of_heavy_edges", _sql("user_slot", "f as (select src, dst from a where weight >= 3)", "b(id, hop) using key (id) as (select id, 0::bigint from v where id < 3 union select f.dst, min(b.hop) + 1 from b join f on f.src = b.id left join recurring.b r on r.id = f.dst where r.id is null group by f.dst)", "select id, hop from b", recursive=True))
+def _(spark, d):
+    edges = _edges(spark, d, "user_slot")
+    return graph.bfs_levels(edges, graph.vertices(edges).filter("id < 3"), F.col("weight") >= 3)
+
+
+# Contributions that differ by some 1e-13, as sums in another order do, count as the same.
+@_query("best_option_near_ties", _sql("user_slot", _NC, _W, "o as (select id, pid, w - 0.5 + ((id * 7 + pid * 3) % 5) * 1e-13 as contrib from w)", "t as (select *, max(contrib) over (partition by id) as top from o)", "select id, max(pid) as pid from t where abs(contrib - top) <= greatest(1e-12, 1e-8 * greatest(abs(contrib), abs(top))) group by id"))
+def _(spark, d):
+    edges = _edges(spark, d, "user_slot")
+    near = quality.weights_to_communities(edges, _nodes(edges, 7, quality.CPM))
+    noise = (F.col("id") * 7 + F.col("pid") * 3) % 5 * 1e-13
+    return quality.near_best(near.select("id", "pid", (F.col("w") - 0.5 + noise).alias("contrib"))).select("id", "pid")

@@ -36,7 +36,9 @@ def narrow_ids(edges: DataFrame, src: str = "umi1", dst: str = "umi2") -> DataFr
 
 def read_edges_csv(spark: SparkSession, path: str) -> DataFrame:
     """The first two columns of a CSV file with a header; rows that aren't integers are left out."""
-    return spark.read.csv(path, header=True, schema="umi1 long, umi2 long", mode="DROPMALFORMED", enforceSchema=True)
+    rows = spark.read.csv(path, header=True)
+    ends = rows.select(*(F.col(f"`{c}`").try_cast("long").alias(n) for c, n in zip(rows.columns, ("umi1", "umi2"), strict=False)))
+    return ends.filter("umi1 is not null and umi2 is not null")
 
 
 def read_partitions_csv(spark: SparkSession, path: str) -> DataFrame:

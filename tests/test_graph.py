@@ -166,3 +166,52 @@ def test_edge_table_from_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("umi1 long, umi2 long").parquet(source)
     keep_edge_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert rows(read_edge_table(spark, str(tmp_path / "out"))) == [(1, 2, 2), (3, 4, 1)]
+
+
+def test_matrix_has_to_be_symmetric(spark):
+    cells = [(0, 1, 2), (1, 0, 2), (1, 1, 5), (2, 1, 1), (1, 2, 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "i long, j long, weight long")
+    assert rows(graph.from_matrix(frame(cells))) == [(0, 1, 2), (1, 1, 5), (1, 2, 1)]
+    for broken in ([*cells, (3, 0, 1)], [(0, 1, 2), (1, 0, 3)], [*cells, (0, 1, 2)], [*cells, (1, 1, 5)]):
+        with pytest.raises(Exception, match="not symmetric"):
+            graph.from_matrix(frame(broken)).collect()
+    assert rows(graph.from_matrix(frame([]))) == []
+
+
+def test_packed_hubs_are_chunks(spark):
+    edges = edges_of(spark, [(0, i) for i in range(0, 300)] + [(7, 8)])
+    packed = graph.packed_adjacency(edges, chunk=32).collect()
+    assert max(len(r["near"]) for r in packed) < 64 and {r["chunk"] for r in packed if r["id"] == 0} == set(range(10))
+    assert all(list(r["near"]) == sorted(r["near"]) for r in packed)
+    assert rows(graph.unpacked(graph.packed_adjacency(edges, chunk=32))) == rows(graph.adjacency(edges))
+
+
+def test_hops_from_several_sources(spark):
+    edges = edges_of(spark, [(i, i + 1) for i in range(20)] + [(30, 31)])
+    start = spark.createDataFrame([(0,), (12,), (12,)], "id long")
+    assert dict(rows(graph.bfs_levels(edges, start))) == {i: min(i, abs(12 - i)) for i in range(21)}
+    assert dict(rows(graph.bfs_levels(edges, start, max_hops=1))) == {0: 0, 1: 1, 11: 1, 12: 0, 13: 1}
+    assert dict(rows(graph.bfs_levels(edges, start, F.col("src") < 3))) == {0: 0, 1: 1, 2: 2, 3: 3, 12: 0}
+
+
+def test_first_appearances_over_files(spark, tmp_path):
+    for n, part in enumerate([[(9, 4), (4, 9), (2, 9)], [(1, 4), (0, 2)]]):
+        sources.edges_from_tuples(spark, part).coalesce(1).write.parquet(f"{tmp_path}/x/part={n}")
+    got = graph.first_appearances(spark.read.parquet(f"{tmp_path}/x"))
+    assert [i for i, _ in sorted(rows(got), key=lambda r: r[1])] == [9, 4, 2, 1, 0]
+
+
+def test_csv_sources(spark, tmp_path):
+    (tmp_path / "edges.csv").write_text("umi1,umi2,weight\n1,2,7\n3,x,1\n2,2,1\n")
+    (tmp_path / "labels.csv").write_text("id,pid\n1,0\n2,5\n")
+    assert rows(sources.read_edges_csv(spark, str(tmp_path / "edges.csv"))) == [(1, 2), (2, 2)]
+    assert rows(sources.read_partitions_csv(spark, str(tmp_path / "labels.csv"))) == [(1, 0), (2, 5)]
+
+
+def test_joins_with_counted_keys_split_heavy_ones(spark):
+    from loomgraph.operators.skew import join_counted
+
+    left = spark.createDataFrame([(1 if i < 90 else i, i) for i in range(120)], "k long, v long")
+    sizes = left.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 119").withColumn("tag", F.col("k") * 2)
+    for how in ("inner", "left"):
+        assert rows(join_counted(left, sizes, "k", "n", 120, how, least=10)) == rows(left.join(sizes, "k", how).drop("n"))
