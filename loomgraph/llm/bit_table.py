@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 MAX_BITS = 29  # 64 MB
 PER_HASH = 16
+SLICE = 1 << 18
+PER_TASK = 1 << 20
 MAX_BUCKETS = 1 << 22
 
 
@@ -33,21 +35,44 @@ def passing(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def build(hashes: DataFrame, column: str, count: int | None = None) -> Broadcast:
-    """The packed table of a long column, broadcast. Eight partial tables at most reach the driver, one at a time."""
+    """The packed table of a long column, broadcast.
+
+    As many tasks as the hashes have set the bits of their share, in slices of ``SLICE`` bytes; slices of the same place are put
+    together by shuffle, so the driver gets each part of the table once, slice by slice.
+    """
     n = hashes.count() if count is None else count
     bits = min(max(n * PER_HASH, 1 << 10).bit_length(), MAX_BITS)
+    size = (1 << bits) // 8
+
+    def slices(table: np.ndarray) -> pa.RecordBatch:
+        starts = [at for at in range(0, size, SLICE) if table[at : at + SLICE].any()]
+        parts = [table[at : at + SLICE].tobytes() for at in starts]
+        return pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["start", "bits"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((1 << bits) // 8, np.uint8)
+        table = np.zeros(size, np.uint8)
         for batch in batches:
             for at in _places(batch.column(0).to_numpy().view(np.uint64), bits):
                 np.bitwise_or.at(table, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
+        yield slices(table)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(part.as_py(), np.uint8)
+                own[start] = own[start] | part if start in own else part
+        for start, part in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["start", "bits"])
 
-    out = np.zeros((1 << bits) // 8, np.uint8)
+    out = np.zeros(size, np.uint8)
     if n:
-        for r in hashes.select(column).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-            out |= np.frombuffer(r["bits"], np.uint8)
+        kind = "start long, bits binary"
+        tasks = max(1, min(-(-n // PER_TASK), hashes.sparkSession.sparkContext.defaultParallelism * 4))
+        marked = hashes.select(column).coalesce(tasks).mapInArrow(mark, kind)
+        whole = marked if tasks == 1 else marked.repartition("start").mapInArrow(merge, kind)
+        for r in whole.toLocalIterator():
+            out[r["start"] : r["start"] + SLICE] = np.frombuffer(r["bits"], np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 

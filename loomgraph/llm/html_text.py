@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 
 MAX_PAGES = 300
 MAX_CHARS = 200_000
-TREES = 80
+TREES = 120
+REAL = 0.5
 DEPTH = 4
-_SILENT = {"script", "style", "head", "title", "noscript", "template", "svg", "iframe", "textarea", "select", "button"}
+_SILENT = {"script", "style", "head", "title", "template", "svg", "iframe", "textarea", "select", "button"}
 _FRAME = ("#page", "html", "body")
 _LOOSE = "#loose"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -69,7 +70,12 @@ _LINES = re.compile(
     r"|(?P<comments>(?:reader |\d+ )?(?:comments?|repl(?:y|ies)|responses?|kommentare?|comentarios?|commentaires?)(?: ?\(?\d+\)?)?|leave a (?:reply|comment)|what do you think))\W*$|(?P<legal>copyright \d|\(c\) ?\d|©)|(?P<cookies>(?:we|this (?:web)?site) uses? cookies|cookies?\b))",
     re.I,
 )
-_SAYS = {name: 1 << n for n, name in enumerate(("advert", "menu", "more", "comments", "legal", "cookies"))}
+_SAYS = {name: 1 << n for n, name in enumerate(("advert", "menu", "more", "comments", "legal", "cookies", "voice"))}
+# How the words of somebody other than the author begin: a name, and that or when it was said.
+_VOICE = re.compile(
+    r"\W*[^\W\d_][^.!?:;]{0,40}?(?:\b(?:says?|said|wrote|writes|repli(?:ed|es)|commented|posted|schrieb|sagte?|schreibt|dice|dijo|escribió|dit|écrit)\b[^.!?:;]{0,40}(?::|$|\d)|\b\d+ (?:minutes?|hours?|days?|weeks?|months?|years?) ago\b"
+    r"|,? \(?(?:on )?(?:\d{1,2}\.? [A-Z]\w{2,8}\.?|[A-Z]\w{2,8}\.? \d{1,2})(?:,? \d{4})?\b|,? \d{1,4}[-./]\d{1,2}[-./]\d{1,4}\b)"
+)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PARTS = re.compile(r"[^a-z0-9]+")
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -204,6 +210,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     chars, link, marks, tags, below = [0] * n, [0] * n, [0] * n, [1] * n, [0] * n
     place, among, most = [0.0] * n, [1] * n, [0] * n
     first, said, headed = [""] * n, [0] * n, [0] * n  # first line; what it says; what the heading before an element says
+    lead, voices = [""] * n, [0.0] * n  # the first characters of all texts of an element; the share of its children that are voices
     for i in range(n - 1, -1, -1):
         node = nodes[i]
         up = node.parent
@@ -217,11 +224,20 @@ def features(nodes: list[Node]) -> np.ndarray:
                     chars[i] += len(text)
                     marks[i] += text.count(".") + text.count(",")
                     first[i] = first[i] or text
+                    if len(lead[i]) < 80:
+                        lead[i] += item[:160]
                 else:
                     children += 1
                     first[i] = first[i] or first[item]
+                    voices[i] += said[item] >> len(_SAYS) - 1 & 1
+                    if len(lead[i]) < 80:
+                        lead[i] += lead[item] + " " * (nodes[item].tag in _BLOCKS)
+            lead[i] = lead[i][:160]
+            voices[i] /= max(children, 1)
+            if _VOICE.match(lead[i].strip()):
+                said[i] = _SAYS["voice"]
             if first[i] and (line := _LINES.match(first[i][:80])):
-                said[i] = _SAYS[line.lastgroup]
+                said[i] |= _SAYS[line.lastgroup]
             if children:
                 seen = heading = 0
                 for item in node.items:
@@ -255,7 +271,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     largest = np.array(most, float)[parent]
     own = np.column_stack([
         np.minimum([node.depth for node in nodes], 20), np.log1p(c), np.array(link) / np.maximum(c, 1), np.log1p(t), np.log1p(c / t), np.array(marks) / np.maximum(c, 1) * 50,
-        below, place, np.log1p(among), c / np.maximum(largest, 1), c / np.maximum(c[parent], 1), c / max(c[0], 1),
+        below, place, np.log1p(among), c / np.maximum(largest, 1), c / np.maximum(c[parent], 1), c / max(c[0], 1), voices, np.array(voices)[parent],
         np.array(group)[:, None] >> np.arange(2 * len(_GROUPS)) & 1, np.array(token)[:, None] >> np.arange(2 * len(_TOKENS)) & 1,
         np.array(said)[:, None] >> np.arange(2 * len(_SAYS)) & 1,
     ])
@@ -395,7 +411,7 @@ _PART_WORD = re.compile(r"\bpart-(main|rest)\b")
 _MAIN, _REST = "\x01", "\x02"  # marks of loose text in templates
 
 
-def templates(count: int = 480, seed: int = 5) -> Iterator[str]:
+def templates(count: int = 640, seed: int = 5) -> Iterator[str]:
     """Pages with known parts, in the ways that real ones are marked up: semantic tags, classes, or bare structure."""
     rng = random.Random(seed)
     words = ["".join(rng.choices("abcdeilmnorstu", k=rng.randrange(2, 9))) for _ in range(400)]
@@ -416,7 +432,7 @@ def templates(count: int = 480, seed: int = 5) -> Iterator[str]:
     many = lambda lo, hi, make: "".join(make() for _ in range(rng.randrange(lo, hi)))
 
     def block() -> str:
-        kind = rng.randrange(16)
+        kind = rng.randrange(18)
         if kind < 5:
             return f"<p>{prose(3, 30)}</p>"
         return (
@@ -424,9 +440,29 @@ def templates(count: int = 480, seed: int = 5) -> Iterator[str]:
             f"<{pick('ul', 'ol')}>{many(2, 6, lambda: f'<li>{prose(1, 9)}</li>')}</ul>".replace("</ul>", "</ul></ol>"),
             f'<p>{prose(6, 20)} <a href="/x">{pick(*words)}</a> {prose(4, 9)}</p>', f"<blockquote>{prose(4, 15)}</blockquote>", table(), table(),
             f"<dl>{many(1, 5, lambda: f'<dt>{heading(3)}</dt><dd>{prose(2, 10)}</dd>')}</dl>", f"<pre><code>{heading(6)} = {heading(4)}\n{heading(5)}</code></pre>",
-            f'<figure><img src="/{pick(*words)}.png"><figcaption>{heading(8)}</figcaption></figure>',
+            f'<figure><img src="/{pick(*words)}.png"><figcaption>{heading(8)}</figcaption></figure>', linked(), f"<p>{name()} {pick('says', 'said', 'wrote')}: {prose(4, 20)}</p>",
         )[kind - 5]
 
+    def name() -> str:
+        return " ".join(rng.choices(words, k=rng.randrange(1, 3))).title()
+
+    def linked() -> str:
+        """A list of links that is part of the article: their texts are phrases, as often with a word of comment."""
+        item = lambda: f'<a href="/{pick(*words)}">{" ".join(rng.choices(words, k=rng.randrange(3, 9))).capitalize()}</a>{pick("", "", ": " + prose(2, 6))}'
+        return pick(f"<ul>{many(2, 9, lambda: f'<li>{item()}</li>')}</ul>", many(2, 6, lambda: f"<p>{item()}</p>"), f"<ol>{many(2, 7, lambda: f'<li>{item()}</li>')}</ol>")
+
+    def when() -> str:
+        month = pick("January", "May", "Jun", "Oct", "Mai", "August")
+        return pick(f"on {month} {rng.randrange(1, 29)}", f"{rng.randrange(1, 29)} {month} {rng.randrange(2005, 2026)}", f"{rng.randrange(2, 30)} {pick('minutes', 'hours', 'days', 'months')} ago", f"{rng.randrange(2005, 2026)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}")
+
+    def voice() -> str:
+        """What one reader wrote, with a name and that or when it was said."""
+        verb, text = pick("says", "wrote", "said", "replied", "commented"), prose(2, 14)
+        return pick(
+            f"<div><b>{name()}</b> {verb}: {text}</div>", f"<div><div>{name()} {verb} {when()}:</div><div>{text}</div></div>", f"<p><b>{name()}</b>, {when()}<br>{text}</p>", f"<div><p>{name()} {verb}:</p><p>{text}</p></div>",
+            f"<li><cite>{name()}</cite> <small>{when()}</small> {text}</li>", f"<div><span>{name()}</span> <span>{when()}</span><p>{text}</p></div>", f"<dl><dt>{name()} {verb} {when()}</dt><dd>{text}</dd></dl>",
+        )
+
     def table() -> str:
         columns, text = rng.randrange(1, 5), rng.randrange(2, 9)
         row = lambda tag: "<tr>" + many(columns, columns + 1, lambda: f"<{tag}>{heading(text)}</{tag}>") + "</tr>"
@@ -436,7 +472,11 @@ def templates(count: int = 480, seed: int = 5) -> Iterator[str]:
         return f"{mark}<!-- -->{part}"
 
     def remarks() -> str:
-        """What readers wrote, in markup of any kind; under a heading where no class says so."""
+        """What readers wrote, in markup of any kind; under a heading or with names where no class says so."""
+        if often(0.5):
+            title = pick(f"{rng.randrange(1, 40)} thoughts on \u201c{heading(5)}\u201d", f"{rng.randrange(1, 40)} Comments", "What readers say", "Join the conversation", "Your thoughts", "Discussion", heading(3))
+            top = f"<h{(level := pick(2, 3, 4))}>{title}</h{level}>" if often(0.7) else ""
+            return f'<{(tag := pick("div", "div", "section"))} class="part-rest">{top}{many(1 if top else 2, 6, voice)}</{tag}>'
         name = pick("comments", "comment-list", "replies", "discussion", "") if often(0.6) else ""
         said = pick("Comments", "Comments ({})", "{} comments", "Reader comments", "Replies", "{} responses", "Leave a comment", "Kommentare").format(rng.randrange(1, 40))
         one = pick(lambda: f"<p>{prose(2, 14)}</p>", lambda: f"<div>{heading(2)}</div><div>{prose(2, 14)}</div>", lambda: f"<div><b>{heading(2)}</b> {prose(2, 14)}</div>", lambda: f"<li>{prose(2, 12)}</li>")
@@ -470,6 +510,10 @@ def templates(count: int = 480, seed: int = 5) -> Iterator[str]:
         if often(0.4):
             body.append(f'<div class="part-rest {pick("cookie-notice", "notice", "consent-banner", "alert")}" role="dialog"><p>{prose(5, 12)}</p></div>' if often(0.7) else f'<div class="part-rest">We use cookies {prose(3, 9)}</div>')
         blocks = ([f"<h1>{heading(7)}</h1>"] if often(0.9) else []) + [block() for _ in range(rng.randrange(1, pick(3, 9)))]
+        if often(0.12):  # an article that is mostly a list
+            blocks = [blocks[0], linked(), *([f"<p>{prose(3, 15)}</p>"] if often(0.7) else [])]
+        if often(0.08):
+            blocks.insert(rng.randrange(len(blocks) + 1), f"<noscript>{pick(prose(3, 12), f'<p>{prose(3, 12)}</p>')}</noscript>")
         if often(0.25) and len(blocks) > 2:
             extra = f'<div class="part-rest {pick("ad", "related", "share social")}">{pick(prose(3, 8), "<ul>" + links(3) + "</ul>")}</div>'
             blocks.insert(rng.randrange(1, len(blocks)), extra)
@@ -488,6 +532,8 @@ def templates(count: int = 480, seed: int = 5) -> Iterator[str]:
             body.append(remarks())
         if often(0.3):
             body.append(f'<form class="part-rest {pick("search", "newsletter", "subscribe")}"><label>{pick(*words)}</label><input type="text"><p>{prose(2, 6)}</p></form>')
+        if often(0.1):
+            body.append(f'<noscript class="part-rest">{pick("Please enable JavaScript", "You need to enable JavaScript to run this app.", "JavaScript is off")} {prose(2, 5)}</noscript>')
         if often(0.2):
             body.append("")
         legal = "" if not body[-1] else f"{pick('&copy;', '&copy; 2024', 'Copyright')} {pick(*words)}.example {prose(3, 9)}"
@@ -520,13 +566,18 @@ def _drawn(pages: DataFrame, html: str, max_pages: int, max_chars: int) -> list[
 
 
 def fit(pages: DataFrame | None = None, html: str = "html", max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS) -> Trees:
-    """Trees fitted on templates and on ``max_pages`` real pages at most, of ``max_chars`` characters at most."""
+    """Trees fitted on templates and on ``max_pages`` real pages at most, of ``max_chars`` characters at most.
+
+    Real pages weigh ``REAL`` times what the templates do at most: they show what a site's markup is like, not that nothing else occurs.
+    """
     x, y = _training(list(templates()))
+    weight = np.ones(len(y))
     if pages is not None and (drawn := _drawn(pages, html, max_pages, max_chars)):
         more, says = _training(drawn)
         x, y = np.concatenate([x, more]), np.concatenate([y, says])
-    share = max(y.mean(), 1e-3)
-    return boost(x, y.astype(float), np.where(y == 1, 0.7 / share, 0.3 / max(1 - share, 1e-3)))  # a line lost is worse than one too many
+        weight = np.concatenate([weight, np.full(len(says), min(1.0, REAL * len(weight) / max(len(says), 1)))])
+    share = max(float(np.average(y, weights=weight)), 1e-3)
+    return boost(x, y.astype(float), weight * np.where(y == 1, 0.7 / share, 0.3 / max(1 - share, 1e-3)))  # a line lost is worse than one too many
 
 
 def main_text(pages: DataFrame, trees: Trees, html: str = "html", into: str = "text") -> DataFrame:

@@ -133,6 +133,7 @@ def _leaves(rows: DataFrame) -> DataFrame:
 
     Rows are range-partitioned and numbered in their partition; the counts of partitions give the offsets.
     """
+    rows = cut(rows, "digests")  # texts are hashed once: range partitions are sampled from this
     ties = rows.withColumn("tie", F.monotonically_increasing_id())
     order = ["id", "digest", "tie"]
     dealt = cut(ties.repartitionByRange("source", *order).withColumn("part", F.spark_partition_id()), "ranges")
@@ -146,7 +147,7 @@ def _leaves(rows: DataFrame) -> DataFrame:
     here = dealt.withColumn("place", place)
     found = here.join(offsets, (F.col("part") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
     out = cut(found.select(*rows.columns, "tree", (F.col("place") + F.col("before")).cast("long").alias("pos"), "width"), "leaves")
-    drop_table(dealt, counts)
+    drop_table(rows, dealt, counts)
     return out
 
 

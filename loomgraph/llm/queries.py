@@ -122,8 +122,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries, halves by a hash of the id: the second is scanned against the ledger of the first."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     earlier = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    first, ledger = secrets.scan(documents.filter(earlier))
-    second, _ = secrets.scan(documents.filter(~earlier), ledger=ledger)
+    first, ledger = secrets.findings(documents.filter(earlier), ["doc_id"])
+    second, _ = secrets.findings(documents.filter(~earlier), ["doc_id"], ledger=ledger)
     rows = first.unionByName(second)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(

@@ -62,18 +62,19 @@ def find(text: str) -> list[tuple[str, int, int]]:
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _finder(table=None):
-    """(blob, text, spans) of (blob, text, hashes...): a text whose hashes may be in the table is kept for later, without spans."""
+def _finder(table=None, n_hashes: int = 0):
+    """(columns..., blob, text, spans) of (columns..., blob, text, hashes...): a text whose hashes may be in the table is kept for later, without spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             later = np.zeros(batch.num_rows, bool)
-            for hashes in batch.columns[2:] if table is not None else ():
+            columns = batch.columns[: batch.num_columns - n_hashes]
+            for hashes in batch.columns[len(columns) :]:
                 later[bit_table.passing(table.value, hashes.to_numpy().view(np.uint64))] = True
-            texts = [t.as_py() for t in batch.column("text")]
+            texts = [t.as_py() for t in columns[-1]]
             spans = [None if wait else [dict(zip(("kind", "start", "end"), s, strict=True)) for s in find(t)] for t, wait in zip(texts, later, strict=True)]
             kept = [t if wait else None for t, wait in zip(texts, later, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(kept, pa.string()), pa.array(spans, _FOUND)], names=["blob", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(kept, pa.string()), pa.array(spans, _FOUND)], names=[*batch.schema.names[: len(columns)], "spans"])
 
     return run
 
@@ -83,10 +84,12 @@ def blob_of(text: str = "text"):
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def update(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, spans) for the pairs that ``ledger`` lacks."""
+def _first_pass(versions: DataFrame, text: str, known: DataFrame | None, keep: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """(k0, k1, ..., blob, text, spans) of all rows, written, k0 and so on being the columns ``keep``; and the tables it hangs on.
+
+    Texts that surely occur once and are not in the ledger have their spans, the others their text.
+    """
     plain = F.coalesce(F.col(text), F.lit(""))
-    known = None if ledger is None else ledger.filter(F.col("rule_version") == rule_version).select("blob")
     # a hash of the text is enough to tell what may repeat: one that only seems to goes the longer way
     marks = versions.select(F.xxhash64(plain).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     if known is not None:
@@ -94,19 +97,58 @@ def update(versions: DataFrame, text: str = "text", ledger: DataFrame | None = N
     marks = cut(marks, "marks")
     table = bit_table.build(marks, "h")
     address = blob_of(text)
-    kind = f"blob string, text string, spans {SPANS}"
     hashes = [F.xxhash64(plain).alias("h"), *([] if known is None else [F.xxhash64(address).alias("known")])]
-    first = cut(versions.select(address.alias("blob"), plain.alias("text"), *hashes).mapInArrow(_finder(table), kind), "scanned")
+    kept = [F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)]
+    kinds = "".join(f"k{n} {versions.schema[c].dataType.simpleString()}, " for n, c in enumerate(keep))
+    rows = versions.select(*kept, address.alias("blob"), plain.alias("text"), *hashes)
+    return cut(rows.mapInArrow(_finder(table, len(hashes)), f"{kinds}blob string, text string, spans {SPANS}"), "scanned"), [marks]
+
+
+def _fresh(first: DataFrame, known: DataFrame | None, rule_version: int) -> DataFrame:
+    """Ledger rows of a first pass, written: of what it scanned, and of each other blob that the ledger lacks."""
     once = first.filter("spans is null").groupBy("blob").agg(F.first("text").alias("text"))  # copies are dropped before the shuffle
     if known is not None:
         once = once.join(known.distinct(), "blob", "left_anti")
-    found = once.mapInArrow(_finder(), kind)
+    found = once.mapInArrow(_finder(), f"blob string, text string, spans {SPANS}")
     both = first.filter("spans is not null").select("blob", "spans").unionByName(found.select("blob", "spans"))
-    out = cut(both.select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
-    drop_table(marks, first)
+    return cut(both.select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
+
+
+def _known(ledger: DataFrame | None, rule_version: int) -> DataFrame | None:
+    return None if ledger is None else ledger.filter(F.col("rule_version") == rule_version).select("blob")
+
+
+def update(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
+    """Ledger rows (blob, rule_version, spans) for the pairs that ``ledger`` lacks."""
+    known = _known(ledger, rule_version)
+    first, more = _first_pass(versions, text, known, [])
+    out = _fresh(first, known, rule_version)
+    drop_table(first, *more)
     return out
 
 
+def findings(
+    versions: DataFrame, keep: list[str], text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION
+) -> tuple[DataFrame, DataFrame]:
+    """(keep..., blob, spans) of every row, without its text, and the ledger to keep for the next run.
+
+    Texts are read once to tell what may repeat and once more to address and scan them. Only rows that may be copies, or are in the
+    ledger, are joined to the findings, by their address alone.
+    """
+    known = _known(ledger, rule_version)
+    first, more = _first_pass(versions, text, known, keep)
+    fresh = _fresh(first, known, rule_version)
+    whole = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
+    hits = whole.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", F.col("spans").alias("found"))
+    dealt = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = first.filter("spans is null").drop("text", "spans").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    joined_ = later.join(dealt, ["blob", "salt"], "left").withColumn("spans", F.coalesce("found", F.array().cast(SPANS)))
+    names = [f"k{n}" for n in range(len(keep))]
+    rows = first.filter("spans is not null").select(*names, "blob", "spans").unionByName(joined_.select(*names, "blob", "spans"))
+    drop_table(*more)
+    return rows.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "blob", "spans"), whole
+
+
 def scan(
     versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION, blob: str = "blob", spans: str = "spans"
 ) -> tuple[DataFrame, DataFrame]:

@@ -1,23 +1,5 @@
-"""Joins whose keys may hold very many rows."""
+"""Joins whose keys may hold very many rows, as the graph library has them."""
 
-from __future__ import annotations
+from loomgraph.operators.skew import LEAST, SHARE, join_counted
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SHARE = 10_000
-LEAST = 100_000
-
-
-def join_counted(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, total: int, least: int = LEAST) -> DataFrame:
-    """``rows.join(table, on)`` where ``table`` says in ``count`` how many of the ``total`` rows each of its keys has.
-
-    Keys of more than ``least`` rows and more than a ``SHARE``-th of all are at most ``SHARE`` keys, whatever the data, so
-    they are broadcast and their rows stay where they are; the rest is joined by shuffle.
-    """
-    if total <= least:
-        return rows.join(table, on).drop(count)
-    hot = F.col(count) > max(total // SHARE, least)
-    few, keys = F.broadcast(table.filter(hot)), [on] if isinstance(on, str) else on
-    far = rows.join(F.broadcast(table.filter(hot).select(*keys)), on, "left_anti").join(table.filter(~hot), on)
-    return rows.join(few, on).unionByName(far).drop(count)
+__all__ = ["LEAST", "SHARE", "join_counted"]

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, gif, html_text, mixing, near_dup, pii, quality, secrets, toxicity, url_filter, words
+from loomgraph.llm import bit_table, decontaminate, gif, html_text, mixing, near_dup, pii, quality, secrets, toxicity, url_filter, words
 
 
 def test_flight_keeps_words_and_documents():
@@ -394,6 +394,32 @@ def test_pages_of_other_shapes(trees, page, text):
     assert html_text.extract([page], trees) == [text]
 
 
+# Readers' comments without a class that tells, an article that is a list of links, one that quotes, and text for those without scripts.
+FLOOD = "<p>The river rose in the night, and by morning the lower fields were under water, as they had been ten years before.</p><p>Nobody had expected it so late in the year, the mayor told us.</p>"
+FLOOD_TEXT = "The river rose in the night, and by morning the lower fields were under water, as they had been ten years before.\nNobody had expected it so late in the year, the mayor told us."
+MENU = '<div><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul></div>'
+UNCLASSED = [
+    (f'<html><body>{MENU}<article><h1>Flood</h1>{FLOOD}</article><div><h3>3 thoughts on “Flood”</h3><div><b>Al</b> says: I saw it too, it was awful.</div><div><b>Bea</b> says: Same here.</div><div><b>Cy</b> says: We moved the cows in time.</div></div></body></html>', "Flood\n" + FLOOD_TEXT),
+    (f'<html><body>{MENU}<div class="content"><h1>Flood</h1>{FLOOD}</div><div><div>Al wrote on May 3:</div><div>I saw it too, it was awful.</div></div><div><div>Bea wrote on May 4:</div><div>Same here, and worse.</div></div></body></html>', "Flood\n" + FLOOD_TEXT),
+    (f'<html><body>{MENU}<article><h1>Flood</h1>{FLOOD}</article><div><div><div>Al wrote on May 3:</div><div>I saw it too, it was awful.</div></div><div><div>Bea wrote on May 4:</div><div>Same here, and worse.</div></div></div></body></html>', "Flood\n" + FLOOD_TEXT),
+    (f'<html><body>{MENU}<div class="content"><h1>Links of the week</h1><ul><li><a href="/1">One good article about birds</a></li><li><a href="/2">How a bridge was built in a year</a></li><li><a href="/3">Why the sea is getting warmer</a></li></ul><p>That is all for this week, see you on Monday.</p></div><footer>&copy; 2024 Example</footer></body></html>', 'Links of the week\nOne good article about birds\nHow a bridge was built in a year\nWhy the sea is getting warmer\nThat is all for this week, see you on Monday.'),
+    (f'<html><body>{MENU}<article><h1>Talk</h1><p>We met the mayor.</p><p>Anna Lee said: the water came at night, and nobody was ready for it.</p><p>We asked what comes next.</p></article><footer>&copy; 2024 Example</footer></body></html>', 'Talk\nWe met the mayor.\nAnna Lee said: the water came at night, and nobody was ready for it.\nWe asked what comes next.'),
+    (f'<html><body>{MENU}<article><h1>Flood</h1>{FLOOD}<noscript><p>The map needs scripts, here is what it shows in words.</p></noscript></article></body></html>', "Flood\n" + FLOOD_TEXT + '\nThe map needs scripts, here is what it shows in words.'),
+    (f'<html><body>{MENU}<main><h1>Flood</h1><p>3 May 2024</p>{FLOOD}</main></body></html>', 'Flood\n3 May 2024\n'+ FLOOD_TEXT),
+]
+
+
+@pytest.fixture(scope="module")
+def both_trees(spark, trees):
+    """Fitted on templates alone, and with real pages, all of which take a list of links for a menu."""
+    return trees, html_text.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("page, text", UNCLASSED)
+def test_pages_without_telling_classes(both_trees, page, text):
+    assert [html_text.extract([page], t) for t in both_trees] == [[text], [text]]
+
+
 def test_real_articles_are_whole(spark):
     """Every page of the table whose article is marked: the text is what the article's blocks say, and nothing else."""
     import pyarrow.parquet as pq
@@ -688,3 +714,30 @@ def test_very_large_sets_are_compared_exactly():
     b, c = a[:24_000_000], a[:23_999_999]  # 80 of 100, and one short of it
     assert near_dup.spanning_links([a, b, np.arange(5, dtype=np.uint64)], 80) == [(0, 1)]
     assert near_dup.spanning_links([a, c, np.arange(5, dtype=np.uint64)], 80) == []
+
+
+def test_bit_tables_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bit_table, "PER_TASK", 500)
+    monkeypatch.setattr(bit_table, "SLICE", 64)
+    hashes = spark.range(3000, numPartitions=7).select(F.xxhash64("id").alias("h"))
+    table = bit_table.build(hashes, "h").value
+    monkeypatch.setattr(bit_table, "PER_TASK", 1 << 20)
+    assert (bit_table.build(hashes, "h").value == table).all()
+    known = np.array([r["h"] for r in hashes.collect()], np.int64).view(np.uint64)
+    assert len(bit_table.passing(table, known)) == 3000
+    other = np.random.default_rng(1).integers(0, 2**64, 3000, dtype=np.uint64)
+    assert len(bit_table.passing(table, other)) < 300
+
+
+def test_findings_through_the_ledger(spark):
+    """Copies, an earlier delivery, a column named like a result: every path has the findings of its text, each blob once in the ledger."""
+    rows = [(i, t, f"own {i}") for i, t in enumerate(["password=hunter2hunter2", "plain", None, "password=hunter2hunter2", "plain", "token: abcdef0123"] * 5)]
+    frame = spark.createDataFrame(rows, "id long, text string, spans string")
+    first, ledger = secrets.findings(frame.filter("id < 12"), ["id", "spans"])
+    second, whole = secrets.findings(frame.filter("id >= 12"), ["id", "spans"], ledger=ledger)
+    got = {r[0]: (r[1], [(s["kind"], s["start"], s["end"]) for s in r[3]]) for r in [*first.collect(), *second.collect()]}
+    assert got == {i: (own, secrets.find(t or "")) for i, t, own in rows}
+    blobs = [r["blob"] for r in whole.collect()]
+    assert len(blobs) == len(set(blobs)) == 4
+    again, same = secrets.findings(frame, ["id"], ledger=whole)
+    assert same.count() == 4 and {r["id"]: len(r["spans"]) for r in again.collect()} == {i: len(f) for i, (_, f) in got.items()}
