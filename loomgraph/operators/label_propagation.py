@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, partitions
+from loomgraph.operators.moving import together
 from loomgraph.sessions import cut, drop_table
 
 #: A safety limit: an epoch ends when no vertex is active, and raises if it gets this far.
@@ -56,25 +57,32 @@ def synchronous_rounds(edges: DataFrame, labels: DataFrame, rounds: int) -> Data
 def epoch(edges: DataFrame, labels: DataFrame, seed: int = 0, number: int = 0, assign: Assignment = neighbour_mode, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Rounds until no vertex is active; then labels are split into connected parts. ``max_rounds`` without an end is an error."""
     adj = cut(graph.adjacency(edges).select("src", "dst"), "adjacency")
-    now = cut(labels, "labels")
+    now = cut(labels.select("id", "pid"), "labels")
     active = now.select("id")
+    waiting: list[DataFrame] = []  # the table behind ``active``, which only later rounds own
     for turn in range(max_rounds):
         salt = (seed * 1_000_003 + number * 1009 + turn) & 0x7FFFFFFF
         coin = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(2)) == 0
-        moving = active.filter(coin)
-        new = assign(adj, now, moving, salt)
+        new = assign(adj, now, active.filter(coin), salt)
         changed = cut(now.join(new, "id").filter("pid <> new").select("id", F.col("new").alias("pid")), "changed")
-        near = adj.join(changed.select(F.col("id").alias("src"), F.col("pid").alias("_to")), "src")
-        woken = near.join(now.withColumnRenamed("id", "dst"), "dst").filter("pid <> _to").select(F.col("dst").alias("id"))
-        waiting = active.filter(~coin)
-        active = cut(waiting.union(woken).distinct(), "active")
-        now = cut(partitions.update(now, changed), "labels")
+
+        def woken(now: DataFrame = now, active: DataFrame = active, changed: DataFrame = changed, coin: Column = coin) -> DataFrame:
+            near = adj.join(changed.select(F.col("id").alias("src"), F.col("pid").alias("_to")), "src")
+            near = near.join(now.withColumnRenamed("id", "dst"), "dst").filter("pid <> _to").select(F.col("dst").alias("id"))
+            return cut(active.filter(~coin).union(near).distinct(), "active")
+
+        def updated(now: DataFrame = now, changed: DataFrame = changed) -> DataFrame:
+            return cut(partitions.update(now, changed), "labels")
+
+        active, labelled = together(woken, updated)
+        drop_table(now, changed, *waiting)
+        now, waiting = labelled, [active]
         if active.isEmpty():
             break
     else:
         raise RuntimeError(f"vertices are active after {max_rounds} rounds")
-    out = partitions.split_disconnected(edges, now)
-    drop_table(adj)
+    out = cut(partitions.split_disconnected(edges, now), "parts")
+    drop_table(adj, now, *waiting)
     return out
 
 
@@ -82,5 +90,5 @@ def fast_label_propagation(edges: DataFrame, ids: DataFrame | None = None, epoch
     """labels(id, pid), pid the smallest id in it; from singlets unless ``labels`` are given, which 0 epochs return."""
     now = partitions.singlets(graph.vertices(edges) if ids is None else ids) if labels is None else labels
     for number in range(epochs):
-        now = cut(epoch(edges, now, seed, number, assign), "epoch")
+        now = epoch(edges, now, seed, number, assign)
     return now

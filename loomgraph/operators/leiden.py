@@ -1,7 +1,7 @@
 """Leiden community detection in distributed rounds.
 
 A level is local moving (``moving``), refinement (``refining``) and contraction. Q never falls, and no component
-or community is gathered in a task. All draws hang on ids, level, round and seed.
+or community is gathered in a task. All draws hang on ids and seed.
 """
 
 from __future__ import annotations
@@ -54,19 +54,15 @@ def start(edges: DataFrame, gamma: float, objective: quality.Objective = quality
     return Level(edges, cut(nodes, "nodes"), ids.select(F.col("id").alias("orig"), "id"), g, seed)
 
 
-def _salt(level: Level, turn: int) -> int:
-    return (level.seed * 1_000_003 + level.number * 10_007 + turn) & 0x7FFFFFFF
-
-
-def move_nodes(level: Level, rounds: int = moving.ROUNDS) -> tuple[Level, float]:
-    """The level after rounds of moves until none gains, and what they have added to Q."""
-    nodes, added = moving.settle(level.edges, level.nodes, level.g, _salt(level, 0), rounds)
+def move_nodes(level: Level, rounds: int = moving.ROUNDS, thorough: bool = False) -> tuple[Level, float]:
+    """The level after rounds of moves until the frontier is empty, or ``thorough`` until no move gains, and what they have added to Q."""
+    nodes, added = moving.settle(level.edges, level.nodes, level.g, level.seed, rounds, thorough)
     return replace(level, nodes=nodes), added
 
 
 def refine(level: Level, randomness: float = 0.1, rounds: int = refining.ROUNDS) -> DataFrame:
     """(id, refined): well-connected singletons merged into well-connected parts of their community, named by the smallest id."""
-    return refining.refine(level.edges, level.nodes, level.g, randomness, _salt(level, 5000), rounds)
+    return refining.refine(level.edges, level.nodes, level.g, randomness, level.seed, rounds)
 
 
 def aggregate(level: Level, refined: DataFrame | None = None) -> Level:

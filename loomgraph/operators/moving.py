@@ -10,11 +10,11 @@ differences, merged every few rounds; community sizes; labels. A round:
    those before it, in its target and in the community that it leaves: sums over classes, so no community is gathered. One that leads both is
    made in any case, so every round with gains has moves.
 4. Gains then add up: what movers share with each other can only add to Q. The sum is exact and carried along.
-5. Neighbours of what moved, and nodes that could not move though they would gain, are the next frontier. While more than a
-   ``BROAD``-th of all nodes move, all are looked at. When the frontier is empty all are looked at once more; no gain is left at the end.
+5. Neighbours of what moved, and nodes that could not move though they would gain, are the next frontier. Rounds end when it is empty; or, if
+   ``thorough``, when all nodes are looked at once more and none gains: communities that grow or shrink also change what distant nodes gain.
 
-Priorities hang on gains, ids and the seed, so results don't depend on the partitioning. Communities are named by pairs (round, id)
-here, as a node that leaves for a community of its own needs a name that no other has; at the end by their smallest member.
+Priorities hang on gains, ids and the seed, so results don't depend on the partitioning. Communities are named by pairs (number, id)
+here, as a node that founds a community of its own, its n-th, needs a name that no other has; at the end by their smallest member.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from loomgraph.sessions import cut, drop_table
 TINY = 1e-9
 #: A safety limit: rounds end where nothing gains, and raise if they get this far.
 ROUNDS = 10_000
-BROAD = 100
 PARTS = 4
 STEPS = 256  # an octave of gains
 
@@ -62,7 +61,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _evaluated(near: list[DataFrame], nodes: DataFrame, sizes: DataFrame, g: float, active: DataFrame | None, salt: int) -> DataFrame:
-    """(id, k, own, target, gain, dw, first) of nodes that gain.
+    """(id, k, own, founded, target, gain, dw, first) of nodes that gain.
 
     dw is what the move changes of the weight within communities; first its priority, the gain in fine steps of equal ratio, then a hash: lower is earlier.
     """
@@ -75,17 +74,17 @@ def _evaluated(near: list[DataFrame], nodes: DataFrame, sizes: DataFrame, g: flo
     return nodes.sparkSession.sql(
         f"""
         with rows as ({rows}),
-        me as (select n.id, n.weight as k, n.pid as own, o.s as own_s from {{nodes}} n join {{sizes}} o on o.pid = n.pid {mine}),
+        me as (select n.id, n.weight as k, n.pid as own, n.founded, o.s as own_s from {{nodes}} n join {{sizes}} o on o.pid = n.pid {mine}),
         worth as (
             select m.*, r.pid, r.w, r.w - {g!r}D * m.k * s.s as contrib, r.pid <> m.own as other
             from rows r join {{sizes}} s on s.pid = r.pid join me m on m.id = r.id
         ),
         best as (
-            select id, k, own, {g!r}D * k * (own_s - k) - coalesce(sum(if(other, null, w)), 0) as loss, coalesce(sum(if(other, null, w)), 0) as own_w,
+            select id, k, own, founded, {g!r}D * k * (own_s - k) - coalesce(sum(if(other, null, w)), 0) as loss, coalesce(sum(if(other, null, w)), 0) as own_w,
                 max(if(other and contrib > 0, struct(contrib, pid, w), null)) as best
-            from worth group by id, k, own, own_s
+            from worth group by id, k, own, own_s, founded
         ),
-        gains as (select id, k, own, best.pid as target, coalesce(best.contrib, 0D) + loss as gain, coalesce(best.w, 0) - own_w as dw from best)
+        gains as (select id, k, own, founded, best.pid as target, coalesce(best.contrib, 0D) + loss as gain, coalesce(best.w, 0) - own_w as dw from best)
         select *, struct(-cast(floor(log2(gain) * {STEPS}) as int) as level, shiftrightunsigned(xxhash64(id, {salt}), 2) as tie, id as by) as first
         from gains where gain > {TINY!r}D
         """,
@@ -107,11 +106,11 @@ def _offers(gains: DataFrame, total: int) -> DataFrame:
     there = roles.filter("into is not null").selectExpr("pid as target", "into as top_in", "gives", "n_in")
     rows = join_counted(join_counted(gains, here, "own", "n_out", total), there, "target", "n_in", total, how="left")
     leads = "first = top_out and (target is null or first = top_in) as leads"
-    return rows.filter("target is null or not gives").selectExpr("id", "k", "own", "target", "gain", "dw", leads, "struct(first.level, cast(floor(log2(first.tie + 1)) as int) as tie) as class")
+    return rows.filter("target is null or not gives").selectExpr("id", "k", "own", "founded", "target", "gain", "dw", leads, "struct(first.level, cast(floor(log2(first.tie + 1)) as int) as tie) as class")
 
 
 def _made(offers: DataFrame, g: float) -> DataFrame:
-    """(id, k, own, target, dw) of the offers that gain after all that may come before them where they leave and go.
+    """(id, k, own, founded, target, dw) of the offers that gain after all that may come before them where they leave and go.
 
     A community is left or joined in a round, never both, so one sum tells what comes before or with each of its classes.
     """
@@ -120,7 +119,7 @@ def _made(offers: DataFrame, g: float) -> DataFrame:
         with ends as (select inline(array(struct(own as pid, class, k), struct(target as pid, class, k))) from {{offers}}),
         classes as (select pid, class, sum(k) as k from ends where pid is not null group by pid, class),
         upto as (select pid, class, sum(k) over (partition by pid order by class) as k from classes)
-        select o.id, o.k, o.own, o.target, o.dw
+        select o.id, o.k, o.own, o.founded, o.target, o.dw
         from {{offers}} o join upto l on l.pid = o.own and l.class = o.class left join upto j on j.pid = o.target and j.class = o.class
         where o.leads or o.gain - {g!r}D * o.k * (l.k - o.k + coalesce(j.k - o.k, 0)) > {TINY!r}D
         """,
@@ -141,28 +140,28 @@ def observed(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict
     return out, seen.get
 
 
-def settle(edges: DataFrame, nodes: DataFrame, g: float, seed: int = 0, rounds: int = ROUNDS, trace: list | None = None) -> tuple[DataFrame, float]:
-    """``nodes(id, weight, pid)`` after rounds of moves until none gains, and what they have added to Q.
+def settle(edges: DataFrame, nodes: DataFrame, g: float, seed: int = 0, rounds: int = ROUNDS, thorough: bool = False, trace: list | None = None) -> tuple[DataFrame, float]:
+    """``nodes(id, weight, pid)`` after rounds of moves until the frontier is empty, and what they have added to Q.
 
     ``trace`` collects (whether all nodes were looked at, moves, what they added) of every round.
     """
     spark = nodes.sparkSession
     adj = cut(graph.adjacency(edges).filter("src <> dst"), "adjacency")
-    here = cut(nodes.selectExpr("id", "weight", "struct(-1 as turn, pid as id) as pid"), "nodes")
+    here = cut(nodes.selectExpr("id", "weight", "struct(-1 as number, pid as id) as pid", "0 as founded"), "nodes")
     sizes = cut(here.groupBy("pid").agg(F.sum("weight").alias("s")), "sizes")
     near = [cut(spark.sql("select a.src as id, n.pid, sum(a.weight) as w from {adj} a join {here} n on n.id = a.dst group by 1, 2", adj=adj, here=here), "near")]
     n, added, active, looked = here.count(), 0.0, None, []
-    salt = seed & 0x7FFFFFFF  # the same in all rounds, so that what is compiled for one serves the others
-    for turn in range(rounds):
+    salt = seed & 0x7FFFFFFF  # the same in all rounds, as are all statements, so that what is compiled for one serves the others
+    for _ in range(rounds):
         gains, seen = observed(_evaluated(near, here, sizes, g, active, salt), "gains", n=F.count("*"))
         if not seen["n"]:
             drop_table(gains)
-            if active is None:
+            if active is None or not thorough:
                 break
             active = None
             continue
         made, seen = observed(_made(_offers(gains, seen["n"]), g), "moves", n=F.count("*"), dw=F.coalesce(F.sum("dw"), F.lit(0)))
-        moves = made.selectExpr("id", "k", "own", f"coalesce(target, struct({turn} as turn, id as id)) as to")
+        moves = made.selectExpr("id", "k", "own", "coalesce(target, struct(founded as number, id as id)) as to", "int(target is null) as founds")
 
         def differences(moves: DataFrame = moves) -> tuple[DataFrame, dict]:
             """What neighbours of movers lose and gain towards communities; ``extra`` meets each edge among movers four times."""
@@ -177,7 +176,7 @@ def settle(edges: DataFrame, nodes: DataFrame, g: float, seed: int = 0, rounds:
             return observed(rows, "differences", extra=F.coalesce(F.sum("extra"), F.lit(0)))
 
         def relabelled(moves: DataFrame = moves, here: DataFrame = here) -> DataFrame:
-            return cut(spark.sql("select h.id, h.weight, coalesce(m.to, h.pid) as pid from {here} h left join {moves} m on m.id = h.id", here=here, moves=moves), "nodes")
+            return cut(spark.sql("select h.id, h.weight, coalesce(m.to, h.pid) as pid, h.founded + coalesce(m.founds, 0) as founded from {here} h left join {moves} m on m.id = h.id", here=here, moves=moves), "nodes")
 
         def resized(moves: DataFrame = moves, sizes: DataFrame = sizes) -> tuple[DataFrame, dict]:
             now = spark.sql(
@@ -195,13 +194,13 @@ def settle(edges: DataFrame, nodes: DataFrame, g: float, seed: int = 0, rounds:
         added += gained
         if trace is not None:
             trace.append((active is None, seen["n"], gained))
-        active = None if seen["n"] * BROAD > n else steps.select("id").unionByName(gains.select("id")).distinct()
+        active = steps.select("id").unionByName(gains.select("id")).distinct()
         near.append(steps.select("id", "pid", "w"))
         drop_table(here, sizes, made, *looked)
         here, sizes, looked = new_nodes, new_sizes, [gains]
         if len(near) > PARTS:
             merged = cut(_union(near).groupBy("id", "pid").agg(F.sum("w").alias("w")).filter("w <> 0"), "near")
-            active = None if active is None else cut(active, "active")
+            active = cut(active, "active")
             drop_table(*near)
             near = [merged]
     else:

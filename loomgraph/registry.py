@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import quality, scalars
 from loomgraph.operators import components, graph, label_propagation, leiden, partitions, statistics
 from loomgraph.plans import hybrid
+from loomgraph.sessions import fresh_path
 from loomgraph.sources import edges as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,6 +425,14 @@ def _(spark, d):
     return sources.filter_crossing_edges(raw, _by_remainder(graph.vertices(raw, "umi1", "umi2"), 9))
 
 
+@_query("filter_crossing_table", _sql("cust_supp", "select umi1, umi2, (umi1 % 9)::varchar as component from pairs where umi1 % 9 = umi2 % 9"))
+def _(spark, d):
+    raw, path = pairs(spark, d, "cust_supp"), fresh_path(spark, "edges")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    sources.write_edge_table(raw, table, path, 8)
+    return sources.filter_crossing_table(spark, table, _by_remainder(graph.vertices(raw, "umi1", "umi2"), 9))
+
+
 @_query("outer_product", "with a as (select n_nationkey as i, n_regionkey + 1 as x from nation), b as (select r_regionkey as j, r_regionkey * 2 + 1 as y from region) select i, j, x * y as value from a cross join b")
 def _(spark, d):
     one = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("i"), (F.col("n_regionkey") + 1).alias("value"))
@@ -513,6 +522,13 @@ def _(spark, d):
     return partitions.canonical(last.labels())
 
 
+# What Leiden says its quality is, and the quality of the cliques in SQL.
+@_query("planted_leiden_quality", _sql("planted", "n as (select id, 1::bigint as weight, id // 10 as pid from v)", _S, f"select {_Q.format(g='0.2')} as quality, count(distinct pid)::bigint as n_partitions from n"))
+def _(spark, d):
+    last = leiden.leiden(leiden.start(_edges(spark, d, "planted"), 0.2, quality.CPM, seed=7), randomness=1.0)
+    return partitions.num_partitions(last.labels()).select(F.round(F.lit(last.quality()), 6).alias("quality"), "n_partitions")
+
+
 # The resolution is the number of vertices by 100, as with the hybrid below: then the cliques are the best partition at any size.
 @_query("planted_leiden_modularity", _PLANTED)
 def _(spark, d):

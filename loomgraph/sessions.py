@@ -44,7 +44,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_at = path  # for drop_table, which else has to list the files
+    return table
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -61,6 +63,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def drop_table(*tables: DataFrame) -> None:
     """Delete the files behind tables that ``cut`` made, once nothing reads them any more."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = getattr(df, "_cut_at", None)
+        for folder in [path] if path else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/loomgraph/" in folder:
                 drop_path(df.sparkSession, folder)

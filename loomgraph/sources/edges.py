@@ -73,3 +73,20 @@ def filter_crossing_edges(edges: DataFrame, labels: DataFrame, src: str = "umi1"
     two = labels.select(F.col("id").alias("_b"), F.col("pid").alias("_pb"))
     both = edges.join(one, F.col(src) == F.col("_a")).join(two, F.col(dst) == F.col("_b")).filter("_pa = _pb")
     return both.select(*edges.columns, F.col("_pa").cast("string").alias("component"))
+
+
+def write_edge_table(edges: DataFrame, table: str, path: str, buckets: int, src: str = "umi1", dst: str = "umi2") -> None:
+    """The edge list as a table of the catalog, its files in ``path``, bucketed and sorted by both ends: rows are moved once, here."""
+    dealt = edges.repartition(buckets, src, dst)
+    dealt.write.bucketBy(buckets, src, dst).sortBy(src, dst).option("path", path).mode("overwrite").format("parquet").saveAsTable(table)
+
+
+def filter_crossing_table(spark: SparkSession, table: str, labels: DataFrame, src: str = "umi1", dst: str = "umi2") -> DataFrame:
+    """The same as ``filter_crossing_edges`` of a table by ``write_edge_table``, whose rows stay in their buckets.
+
+    Only its different pairs of ends are shuffled, without other columns, to be labelled; those within a label come back to the
+    buckets.
+    """
+    raw = spark.table(table)
+    kept = filter_crossing_edges(raw.select(src, dst).distinct(), labels, src, dst)
+    return raw.join(kept, [src, dst]).select(*raw.columns, "component")

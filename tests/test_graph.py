@@ -113,7 +113,7 @@ def test_refinement_merges_every_eligible_pair(spark):
 def test_rounds_end_where_nothing_is_left_or_raise(spark):
     edges = edges_of(spark, TWO_COMMUNITIES)
     level = leiden.start(edges, 0.5, quality.CPM, seed=1)
-    done, _ = leiden.move_nodes(level)
+    done, _ = leiden.move_nodes(level, thorough=True)
     assert quality.best_moves(done.edges, done.nodes, done.g).filter(F.col("gain") > moving.TINY).isEmpty()
     with pytest.raises(RuntimeError, match="moves that gain are left"):
         leiden.move_nodes(level, rounds=1)
@@ -215,3 +215,28 @@ def test_joins_with_counted_keys_split_heavy_ones(spark):
     sizes = left.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 119").withColumn("tag", F.col("k") * 2)
     for how in ("inner", "left"):
         assert rows(join_counted(left, sizes, "k", "n", 120, how, least=10)) == rows(left.join(sizes, "k", how).drop("n"))
+
+
+def test_edge_tables_stay_in_their_buckets(spark, tmp_path):
+    raw = spark.createDataFrame([(0, 1, "a"), (0, 1, "a"), (1, 2, "b"), (3, 3, None)], "umi1 long, umi2 long, tag string")
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "id long, pid long")
+    sources.write_edge_table(raw, "some_edges", str(tmp_path / "edges"), 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = sources.filter_crossing_table(spark, "some_edges", labels)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, kept.collect())) == sorted(map(str, sources.filter_crossing_edges(raw, labels).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table some_edges")
+    lines = plan.split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "tag" in line)
+    depth = lines[scan].index("FileScan")
+    above = []
+    for line in reversed(lines[:scan]):  # the nodes that stand over the scan of whole rows
+        at = len(line) - len(line.lstrip(" :|+-*()0123456789"))
+        if at < depth:
+            above.append(line)
+            depth = at
+    assert any("Join" in line for line in above) and not any("Exchange" in line for line in above), plan

@@ -70,7 +70,7 @@ def test_moves_end_where_none_gains_and_carry_q(spark, case):
     sizes = {r["id"]: r["weight"] for r in level.nodes.collect()}
     before = score(weights, sizes, {r["id"]: r["pid"] for r in level.nodes.collect()}, level.g)
     trace = []
-    nodes, added = moving.settle(level.edges, level.nodes, level.g, seed=case, trace=trace)
+    nodes, added = moving.settle(level.edges, level.nodes, level.g, seed=case, thorough=True, trace=trace)
     found = {r["id"]: r["pid"] for r in nodes.collect()}
     assert set(found) == set(sizes) and {r["id"]: r["weight"] for r in nodes.collect()} == sizes
     assert score(weights, sizes, found, level.g) == pytest.approx(before + added)
