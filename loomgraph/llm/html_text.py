@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements; text that stands loose in the body becomes elements of its own, one for each
 stretch between blocks. Each element gets features: its kind of tag, what its class, id and role tokens say, what
-its first line and the heading before it say, its depth, how dense its subtree is in text, links and punctuation, and
+its first line and the heading before it say, whether it begins as a reader's voice does (a name, and that or when it was said)
+and how many of its children do, its depth, how dense its subtree is in text, links and punctuation, and
 how it compares with its siblings and its parent. Boosted regression trees, trained here in numpy, give the log odds that an element is
 part of the article. Decoding then chooses for the whole tree at once: an element left out takes its whole
 subtree along, one kept may leave out children, and the choice with the largest sum of log odds wins. So no
