@@ -7,6 +7,7 @@ or community is gathered in a task. All draws hang on ids and seed.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import partial
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -72,7 +73,9 @@ def aggregate(level: Level, refined: DataFrame | None = None) -> Level:
     nodes = both.groupBy(F.col("refined").alias("id")).agg(F.sum("weight").alias("weight"), F.min("pid").alias("pid"))
     edges = graph.contract(level.edges, parts.select("id", F.col("refined").alias("pid")))
     ancestor = level.ancestor.join(parts, "id").select("orig", F.col("refined").alias("id"))
-    return replace(level, edges=cut(edges, "edges"), nodes=cut(nodes, "nodes"), ancestor=cut(ancestor, "ancestor"), number=level.number + 1)
+    tables = {"edges": edges, "nodes": nodes, "ancestor": ancestor}
+    written = moving.together(*(partial(cut, df, name) for name, df in tables.items()))
+    return replace(level, **dict(zip(tables, written)), number=level.number + 1)
 
 
 def leiden(level: Level, randomness: float = 0.1, max_iteration: int | None = None, absolute: float | None = None, relative: float | None = None) -> Level:

@@ -6,7 +6,8 @@ differences, merged every few rounds; community sizes; labels. A round:
 1. Nodes of the frontier are evaluated: for each the best community of a neighbour, and what the move adds to Q.
 2. A community is a giver if its best move out comes before its best move in, else it takes. Only moves from givers to
    takers are made, so none follows a neighbour that leaves.
-3. In every community moves go by priority, in classes of gain and hash. A move is made if its gain is positive after
+3. In every community moves go by priority, in classes of gain per size and hash. What a move loses to those before it is its size times theirs, so
+   in this order the most moves hold: once one fails, later ones do as well. A move is made if its gain is positive after
    those before it, in its target and in the community that it leaves: sums over classes, so no community is gathered. One that leads both is
    made in any case, so every round with gains has moves.
 4. Gains then add up: what movers share with each other can only add to Q. The sum is exact and carried along.
@@ -36,16 +37,6 @@ PARTS = 4
 STEPS = 256  # an octave of gains
 
 
-def draw(*columns: str, salt: int) -> Column:
-    """A hash from 0 to 2**62 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(salt)), 2)
-
-
-def hash_class(tie: Column) -> Column:
-    """0 to 62, each about as large as all lower ones together: sums over classes tell within a factor of two how far a sum goes."""
-    return F.floor(F.log2(tie + 1)).cast("int")
-
-
 def draw(*columns: str, salt: int) -> Column:
     """A hash from 0 to 2**62 - 1."""
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(salt)), 2)
@@ -63,7 +54,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _evaluated(near: list[DataFrame], nodes: DataFrame, sizes: DataFrame, g: float, active: DataFrame | None, salt: int) -> DataFrame:
     """(id, k, own, founded, target, gain, dw, first) of nodes that gain.
 
-    dw is what the move changes of the weight within communities; first its priority, the gain in fine steps of equal ratio, then a hash: lower is earlier.
+    dw is what the move changes of the weight within communities; first its priority, the gain for each unit of size in fine steps of equal ratio, then a hash: lower is earlier.
     """
     seen, mine = "", ""
     if active is not None:
@@ -85,7 +76,7 @@ def _evaluated(near: list[DataFrame], nodes: DataFrame, sizes: DataFrame, g: flo
             from worth group by id, k, own, own_s, founded
         ),
         gains as (select id, k, own, founded, best.pid as target, coalesce(best.contrib, 0D) + loss as gain, coalesce(best.w, 0) - own_w as dw from best)
-        select *, struct(-cast(floor(log2(gain) * {STEPS}) as int) as level, shiftrightunsigned(xxhash64(id, {salt}), 2) as tie, id as by) as first
+        select *, struct(-cast(floor(log2(gain / k) * {STEPS}) as int) as level, shiftrightunsigned(xxhash64(id, {salt}), 2) as tie, id as by) as first
         from gains where gain > {TINY!r}D
         """,
         near=_union(near), nodes=nodes, sizes=sizes, **({} if active is None else {"active": active}),
@@ -146,10 +137,15 @@ def settle(edges: DataFrame, nodes: DataFrame, g: float, seed: int = 0, rounds:
     ``trace`` collects (whether all nodes were looked at, moves, what they added) of every round.
     """
     spark = nodes.sparkSession
-    adj = cut(graph.adjacency(edges).filter("src <> dst"), "adjacency")
-    here = cut(nodes.selectExpr("id", "weight", "struct(-1 as number, pid as id) as pid", "0 as founded"), "nodes")
-    sizes = cut(here.groupBy("pid").agg(F.sum("weight").alias("s")), "sizes")
-    near = [cut(spark.sql("select a.src as id, n.pid, sum(a.weight) as w from {adj} a join {here} n on n.id = a.dst group by 1, 2", adj=adj, here=here), "near")]
+    adj, here = together(
+        lambda: cut(graph.adjacency(edges).filter("src <> dst"), "adjacency"),
+        lambda: cut(nodes.selectExpr("id", "weight", "struct(-1 as number, pid as id) as pid", "0 as founded"), "nodes"),
+    )
+    first, sizes = together(
+        lambda: cut(spark.sql("select a.src as id, n.pid, sum(a.weight) as w from {adj} a join {here} n on n.id = a.dst group by 1, 2", adj=adj, here=here), "near"),
+        lambda: cut(here.groupBy("pid").agg(F.sum("weight").alias("s")), "sizes"),
+    )
+    near = [first]
     n, added, active, looked = here.count(), 0.0, None, []
     salt = seed & 0x7FFFFFFF  # the same in all rounds, as are all statements, so that what is compiled for one serves the others
     for _ in range(rounds):
