@@ -203,11 +203,12 @@ def overlaps(
     kept = cut(kept.withColumn("segment", F.monotonically_increasing_id()), "segments")
     hits = kept.select("segment", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("segment", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     pairs = _joined(hits, seeds, "seed", n_seeds <= broadcast_seeds).select("segment", "item_no", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    pairs = cut(pairs, "pairs")  # so that their size is known: segments, which are far larger, are shuffled only if these are too many to broadcast
     full = _joined(pairs.join(kept.select("segment", "id", "begin", "words"), "segment"), items.select("item_no", "item_words"), "item_no", n_words <= broadcast_words)
     found = cut(_verified(full, documents.schema[id].dataType.simpleString(), least), "overlaps")
     names = items.select("item_no", "item")
     named = found.join(F.broadcast(names) if n_words <= broadcast_words else names, "item_no").drop("item_no").distinct()
-    drop_table(kept, seeds)
+    drop_table(kept, seeds, pairs)
     return named.select(F.col("id").alias(id), F.col("item").alias(item), "start_word", "item_start", "n_words", "n_same")
 
 
