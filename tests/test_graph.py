@@ -240,3 +240,10 @@ def test_edge_tables_stay_in_their_buckets(spark, tmp_path):
             above.append(line)
             depth = at
     assert any("Join" in line for line in above) and not any("Exchange" in line for line in above), plan
+
+
+def test_two_that_swap_labels_look_again(spark):
+    """Both ends of an edge may draw in one round and take each other's label: that is no end."""
+    edges = sources.edges_from_tuples(spark, [(2 * i, 2 * i + 1) for i in range(60)])
+    labels = label_propagation.fast_label_propagation(graph.canonical_edges(edges), seed=7).collect()
+    assert {r["id"]: r["pid"] for r in labels} == {v: v // 2 * 2 for v in range(120)}
