@@ -36,3 +36,13 @@ def test_components_match_union_find(spark):
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert connected_components(none).count() == 0
+
+
+def test_chains_and_cliques_take_few_levels(spark):
+    """A level leaves a constant share of the vertices at most, whatever the ids, and edges follow: one pass over them, and little more."""
+    chain = [(i, i + 1) for i in range(2000)]
+    dense = [(10_000 + a, 10_000 + b) for a in range(80) for b in range(a)]
+    trace = []
+    found = connected_components(spark.createDataFrame(chain + dense, "src long, dst long"), trace=trace)
+    assert {r["id"]: r["component"] for r in found.collect()} == brute(chain + dense)
+    assert len(trace) <= 25 and sum(trace[1:]) <= 4 * trace[0]
