@@ -27,3 +27,20 @@ def test_tables_are_cut_and_dropped(spark):
     assert spark.sparkContext.applicationId in folder and os.path.isdir(folder) and table.count() == 5
     sessions.drop_table(table)
     assert not os.path.exists(folder)
+
+
+def test_rounds_broadcast_little_and_leave_settings(spark):
+    """A table of 200,000 rows has few MB in its files: Spark would broadcast it, a loop of rounds doesn't."""
+    from loomgraph.sessions import cut, sparing
+
+    name, wide, other = "spark.sql.autoBroadcastJoinThreshold", spark.range(200_000), spark.range(400_000)
+    table = cut(wide.selectExpr("id", "id as pid"), "wide")
+    plan = lambda df: df.join(cut(other.toDF("id"), "other"), "id")._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get(name)
+    assert "BroadcastHashJoin" in plan(table) and "BroadcastHashJoin" not in sparing(plan)(table)
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "-1")
+    try:
+        assert sparing(lambda df: df.sparkSession.conf.get(name))(table) == "-1" == spark.conf.get(name)
+    finally:
+        spark.conf.unset(name)
