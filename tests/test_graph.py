@@ -3,6 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import sessions
 from loomgraph.functions import quality, scalars
 from loomgraph.operators import graph, label_propagation, leiden, moving, partitions, statistics
 from loomgraph.sources import edges as sources
@@ -247,3 +248,17 @@ def test_two_that_swap_labels_look_again(spark):
     edges = sources.edges_from_tuples(spark, [(2 * i, 2 * i + 1) for i in range(60)])
     labels = label_propagation.fast_label_propagation(graph.canonical_edges(edges), seed=7).collect()
     assert {r["id"]: r["pid"] for r in labels} == {v: v // 2 * 2 for v in range(120)}
+
+
+def test_label_rounds_leave_the_adjacency_where_it_is_and_dont_hang_on_the_layout(spark, monkeypatch):
+    edges = graph.canonical_edges(spark.range(40).selectExpr("id % 11 as umi1", "11 + (id * id) % 13 as umi2"))
+    adj = sessions.dealt(graph.adjacency(edges).select("src", "dst"), "adjacency", "src", 3)
+    plan = adj.join(spark.range(50).withColumnRenamed("id", "src").hint("shuffle_hash"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(src#" in plan
+    sessions.drop_table(adj)
+    want = rows(label_propagation.epoch(edges, seed=5))
+    for owed, few, of in ((10**9, 0, 30), (1, 10**6, 10**6)):
+        monkeypatch.setattr(label_propagation, "OWED", owed)
+        monkeypatch.setattr(label_propagation, "FEW", few)
+        monkeypatch.setattr(sessions, "BUCKET_ROWS", of)
+        assert rows(label_propagation.epoch(edges, seed=5)) == want
