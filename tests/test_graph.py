@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph import sessions
+from loomgraph import registry, sessions
 from loomgraph.functions import quality, scalars
 from loomgraph.operators import graph, label_propagation, leiden, moving, partitions, statistics
 from loomgraph.sources import edges as sources
@@ -262,3 +262,13 @@ def test_label_rounds_leave_the_adjacency_where_it_is_and_dont_hang_on_the_layou
         monkeypatch.setattr(label_propagation, "FEW", few)
         monkeypatch.setattr(sessions, "BUCKET_ROWS", of)
         assert rows(label_propagation.epoch(edges, seed=5)) == want
+
+
+def test_parts_of_a_matrix_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "BUCKET_ROWS", 1000)
+    found = registry.QUERIES["graph_from_matrix"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    parts = sessions.buckets_of(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count())
+    assert parts > 4 and all(f", {n}), REPARTITION_BY_NUM" in plan for n in (parts, 2 * parts))
+    lineitem = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_suppkey * 2 as a", "l_partkey * 2 + 1 as b")
+    assert rows(found) == rows(lineitem.selectExpr("least(a, b) as src", "greatest(a, b) as dst").groupBy("src", "dst").count())
