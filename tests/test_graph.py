@@ -272,3 +272,12 @@ def test_parts_of_a_matrix_grow_with_its_rows(spark, monkeypatch):
     assert parts > 4 and all(f", {n}), REPARTITION_BY_NUM" in plan for n in (parts, 2 * parts))
     lineitem = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_suppkey * 2 as a", "l_partkey * 2 + 1 as b")
     assert rows(found) == rows(lineitem.selectExpr("least(a, b) as src", "greatest(a, b) as dst").groupBy("src", "dst").count())
+
+
+def test_buckets_of_an_edge_table_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "BUCKET_ROWS", 500)
+    seen = []
+    write = sources.write_edge_table
+    monkeypatch.setattr(sources, "write_edge_table", lambda *given: seen.append(given[3]) or write(*given))
+    found = registry.QUERIES["filter_crossing_table"](spark, "/root/testdata/sf0.001")
+    assert seen[0] > 8 and found.count() > 0
