@@ -67,18 +67,20 @@ def lzw_encode(data: bytes, least: int = 8) -> bytes:
     full, fresh = MAX_CODE - 1, end + 1
     rest = iter(data)
     prefix = next(rest, -1)
+    known, emit = table.get, codes.append
     for byte in rest:
         key = prefix << 8 | byte
-        if key in table:
-            prefix = table[key]
+        if (code := known(key)) is not None:
+            prefix = code
             continue
-        codes.append(prefix)
+        emit(prefix)
         if fresh < full:
             table[key] = fresh
             fresh += 1
         else:
             runs.append([*codes, clear])
             codes, table, fresh = [], {}, end + 1
+            known, emit = table.get, codes.append
         prefix = byte
     runs.append([*codes, *([prefix] if prefix >= 0 else []), end])
     all_codes = np.array([clear, *(c for run in runs for c in run)], np.int64)
@@ -110,18 +112,25 @@ def lzw_decode(stream: bytes, least: int, wanted: int) -> bytes:
             found = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (begin & 7) & (1 << widths[:fit]) - 1
             stops = np.flatnonzero((found == clear) | (found == end))
             use = int(stops[0]) if len(stops) else fit
-            for code in found[:use].tolist():
-                if code < len(table):
+            fresh = len(out)
+            codes = found[:use].tolist()
+            growing = MAX_CODE - len(table) + (not before)  # codes that may add an entry; the first of a table adds none
+            emit, learn = out.append, table.append
+            for code in codes[:growing]:
+                try:
                     entry = table[code]
-                elif code == len(table) and before:
+                except IndexError:
+                    if code > len(table) or not before:
+                        raise ValueError(f"code {code} beyond a table of {len(table)}") from None
                     entry = before + before[:1]
-                else:
-                    raise ValueError(f"code {code} beyond a table of {len(table)}")
-                out.append(entry)
-                size += len(entry)
-                if before and len(table) < MAX_CODE:
-                    table.append(before + entry[:1])
+                emit(entry)
+                if before:
+                    learn(before + entry[:1])
                 before = entry
+            for code in codes[growing:]:
+                before = table[code]
+                emit(before)
+            size += sum(map(len, out[fresh:]))
             seen += use
             if len(stops):
                 at = int(ends[use])
@@ -211,12 +220,12 @@ def decode(raw: bytes, canvas: bool = True) -> Iterator[Frame]:
             if palette is None:
                 raise ValueError("no palette")
             kept = shown.copy() if disposal == 3 else None
-            part = shown[top : top + h, left : left + w]
+            part = shown.view(np.uint32)[top : top + h, left : left + w, 0]
             inside = indices[: part.shape[0], : part.shape[1]]
             colours = np.zeros((256, 4), np.uint8)
             colours[:, :3], colours[:, 3] = palette[np.minimum(np.arange(256), len(palette) - 1)], 255
-            drawn = colours[inside]
-            np.copyto(part, drawn, where=True if clear_index is None else (inside != clear_index)[..., None])
+            drawn = np.take(colours.view(np.uint32)[:, 0], inside)
+            np.copyto(part, drawn, where=True if clear_index is None else inside != clear_index)
         yield Frame(delay, shown.copy(), indices, disposal, clear_index)
         if canvas and disposal == 2:
             shown[top : top + h, left : left + w] = 0

@@ -741,3 +741,12 @@ def test_findings_through_the_ledger(spark):
     assert len(blobs) == len(set(blobs)) == 4
     again, same = secrets.findings(frame, ["id"], ledger=whole)
     assert same.count() == 4 and {r["id"]: len(r["spans"]) for r in again.collect()} == {i: len(f) for i, (_, f) in got.items()}
+
+
+def test_lzw_reads_a_code_that_is_not_yet_known_and_refuses_later_ones():
+    data = b"a" * 9000 + bytes(range(200)) * 90  # runs of one byte name the entry that is just being made; the table fills up
+    for part in (data, data[:1], data[:300]):
+        assert gif.lzw_decode(gif.lzw_encode(part), 8, len(part)) == part
+    for codes in ([256, 97, 259], [256, 258]):
+        with pytest.raises(ValueError, match="beyond a table"):
+            gif.lzw_decode(gif._pack(np.array(codes), np.full(len(codes), 9)), 8, 100)
