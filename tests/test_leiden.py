@@ -173,3 +173,28 @@ def test_rounds_leave_no_tables(spark):
     refining.refine(level.edges, level.nodes, level.g)
     left = [f for f in set(os.listdir(root)) - before if not f.startswith(".")]
     assert len(left) <= 3, left  # the nodes, and the refined labels
+
+
+def test_edges_that_are_written_are_not_written_again(spark):
+    import os
+
+    from loomgraph.sessions import cut, fresh_path
+
+    edges = cut(weighted(spark, random_graph(9, 40, 120)), "edges")
+    root = os.path.dirname(fresh_path(spark, "x"))
+    before = set(os.listdir(root))
+    level = leiden.start(edges, 0.3, quality.CPM, seed=1)
+    assert level.edges is edges and not [f for f in set(os.listdir(root)) - before if f.startswith("edges-")]
+
+
+def test_edges_inside_labels_carry_quality_and_parts(spark):
+    weights = random_graph(4, 60, 200) | {(3, 3): 5}
+    edges = weighted(spark, weights)
+    nodes = graph.vertices(edges).select("id", F.lit(1).cast("long").alias("weight"), (F.col("id") % 9).alias("pid"))
+    labels = nodes.select("id", "pid")
+    inner = partitions.inside(edges, labels)
+    assert {(r["src"], r["dst"]): r["weight"] for r in inner.collect()} == {(a, b): w for (a, b), w in weights.items() if a % 9 == b % 9}
+    assert quality.quality(inner, nodes, 0.3).first() == quality.quality(edges, nodes, 0.3).first()
+    alone = nodes.withColumn("pid", F.col("id"))
+    assert quality.quality(edges.filter("src = dst"), alone, 0.3).first() == quality.quality(edges, alone, 0.3).first()
+    assert sorted(partitions.split_inside(inner, labels).collect()) == sorted(partitions.split_disconnected(edges, labels).collect())
