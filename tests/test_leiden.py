@@ -198,3 +198,13 @@ def test_edges_inside_labels_carry_quality_and_parts(spark):
     alone = nodes.withColumn("pid", F.col("id"))
     assert quality.quality(edges.filter("src = dst"), alone, 0.3).first() == quality.quality(edges, alone, 0.3).first()
     assert sorted(partitions.split_inside(inner, labels).collect()) == sorted(partitions.split_disconnected(edges, labels).collect())
+
+
+def test_few_gains_are_dealt_with_as_many_are(spark):
+    for n, of, seed in ((600, 25, 1), (400, 400, 2)):
+        draw = lambda salt: F.shiftrightunsigned(F.xxhash64("id", F.lit(salt + 10 * seed)), 3)  # noqa: B023, E731
+        rows = spark.range(n).select("id", (draw(1) % 9 + 1).alias("k"), F.struct(F.lit(-1).alias("number"), (draw(2) % of).alias("id")).alias("own"), F.lit(0).alias("founded"), F.when(draw(3) % 10 > 0, F.struct(F.lit(-1).alias("number"), (draw(4) % of).alias("id"))).alias("target"), ((draw(5) % 1000 + 1) / F.lit(100.0)).alias("gain"), (draw(6) % 20).alias("dw"))
+        rows = rows.filter("target is null or target <> own").selectExpr("*", "struct(-cast(floor(log2(gain / k) * 256) as int) as level, shiftrightunsigned(xxhash64(id, 7), 2) as tie, id as by) as first")
+        for g in (0.0005, 0.05):
+            many, few = (sorted(map(tuple, made.collect()), key=lambda r: r[0]) for made in (moving._made(moving._offers(rows, n), g), moving._made_of_few(rows, g)))
+            assert few and few == many
