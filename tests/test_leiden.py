@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import quality
-from loomgraph.operators import graph, leiden, moving, partitions, refining
+from loomgraph.operators import blocks, graph, leiden, moving, partitions, refining
 from loomgraph.sources import edges as sources
 
 
@@ -208,3 +208,44 @@ def test_few_gains_are_dealt_with_as_many_are(spark):
         for g in (0.0005, 0.05):
             many, few = (sorted(map(tuple, made.collect()), key=lambda r: r[0]) for made in (moving._made(moving._offers(rows, n), g), moving._made_of_few(rows, g)))
             assert few and few == many
+
+
+@pytest.mark.parametrize("within", [0, 150, 10_000])
+def test_blocks_in_tasks_and_in_rounds_hold_the_same(spark, within):
+    """A large and twenty small components, none, some or all of them taken node by node in a task; communities tie two of them together."""
+    weights = random_graph(6, 60, 200) | {(100 + 10 * i + a, 100 + 10 * i + b): 1 + (a + b) % 2 for i in range(20) for a in range(6) for b in range(a)}
+    edges = weighted(spark, {(min(p), max(p)): w for p, w in weights.items()})
+    labels = graph.vertices(edges).select("id", F.when(F.col("id").between(100, 119), 100).otherwise(F.col("id")).alias("pid"))
+    level = leiden.start(edges, 0.3, quality.CPM, labels, seed=2)
+    sizes = {r["id"]: r["weight"] for r in level.nodes.collect()}
+    start = {r["id"]: r["pid"] for r in level.nodes.collect()}
+    apart = {r["id"]: r["block"] for r in blocks.apart(level.edges, level.nodes).collect()}
+    assert len({apart[100 + 10 * i] for i in range(20)}) == 19 and apart[100] == apart[110] != apart[120]
+    weights, trace = {(min(p), max(p)): w for p, w in weights.items()}, []
+    nodes, added = moving.settle(level.edges, level.nodes, level.g, seed=2, thorough=True, within=within, trace=trace)
+    found = {r["id"]: r["pid"] for r in nodes.collect()}
+    assert nodes.count() == len(sizes) == len(found) and (len(trace) == 1) == (within == 10_000)
+    assert score(weights, sizes, found, 0.3) == pytest.approx(score(weights, sizes, start, 0.3) + added)
+    assert gains_left(weights, sizes, found, 0.3) <= 1e-6
+    for i in range(20):
+        assert len({found[100 + 10 * i + a] for a in range(6)}) == 1
+    merges = []
+    refined = {r["id"]: r["refined"] for r in refining.refine(level.edges, nodes, level.g, 1.0, seed=2, within=within and 12, trace=merges).collect()}
+    assert set(refined) == set(sizes) and all(found[v] == found[p] and p <= v for v, p in refined.items())
+    assert not plain_parts(weights, sizes, found, refined, 0.3) and sum(merges) == len(sizes) - len(set(refined.values()))
+
+
+def test_blocks_take_ids_beyond_long(spark):
+    big = 2**63
+    edges = spark.createDataFrame([(i, j) for i in range(5) for j in range(i)], "a long, b long").selectExpr(f"cast(b as decimal(20, 0)) + {big} as src", f"cast(a as decimal(20, 0)) + {big} as dst", "1L as weight")
+    edges = edges.select(F.col("src").cast("decimal(20,0)").alias("src"), F.col("dst").cast("decimal(20,0)").alias("dst"), "weight")
+    last = leiden.leiden(leiden.start(edges, 0.3, quality.CPM, seed=1))
+    assert {(int(r["id"]), int(r["pid"])) for r in last.labels().collect()} == {(big + i, big) for i in range(5)}
+
+
+def test_a_small_component_is_settled_at_once(spark):
+    """A chain of triangles took a round of tables for each wave of moves; a task takes them all."""
+    weights = {(a, b): 1 for i in range(80) for a, b in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 2), (3 * i + 2, 3 * i + 3))}
+    level, trace = leiden.start(weighted(spark, weights), 1.0, seed=1), []
+    moving.settle(level.edges, level.nodes, level.g, seed=1, trace=trace)
+    assert len(trace) == 1
