@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import registry
+from loomgraph.operators import leiden, partitions
 from tests.test_components import brute
 
 
@@ -39,3 +41,18 @@ def test_every_thin_query_has_its_whole_one():
     thin = {n for n, sql in registry.ORACLES.items() if registry.VIEWS["order_part"] in sql}
     assert thin and {f"{n}_whole" for n in thin} <= set(registry.QUERIES)
     assert not any(registry.VIEWS["order_part"] in sql for n, sql in registry.ORACLES.items() if n.endswith("_whole"))
+
+
+def test_hybrid_removes_crossing_edges_and_compares_q(spark, lines, monkeypatch):
+    path, pairs = lines
+    whole = {"node_count": len(brute(pairs)), "each_once": True, "connected": True, "not_worse": True}
+    query = registry.QUERIES["hybrid_whole"]
+    moved = lambda edges, **_: partitions.split_disconnected(edges, leiden.move_nodes(leiden.start(edges, 1.0))[0].labels())
+    monkeypatch.setattr(registry.hybrid, "fast_label_propagation", moved)
+    assert query(spark, path).first().asDict() == whole
+    with monkeypatch.context() as m:  # edges between communities stay
+        m.setattr(registry.sources, "filter_crossing_edges", lambda edges, labels: edges.withColumn("component", F.lit("0")))
+        assert not query(spark, path).first()["connected"]
+    with monkeypatch.context() as m:  # recovery gives singlets, of lower Q
+        m.setattr(registry.hybrid.leiden, "leiden", lambda level, *_: leiden.start(registry._edges(spark, path, "order_part_whole"), 1.0))
+        assert query(spark, path).first().asDict() == whole | {"not_worse": False}
