@@ -281,3 +281,14 @@ def test_buckets_of_an_edge_table_grow_with_its_rows(spark, monkeypatch):
     monkeypatch.setattr(sources, "write_edge_table", lambda *given: seen.append(given[3]) or write(*given))
     found = registry.QUERIES["filter_crossing_table"](spark, "/root/testdata/sf0.001")
     assert seen[0] > 8 and found.count() > 0
+
+
+def test_pushed_labels_are_those_that_are_pulled(spark, monkeypatch):
+    """Rounds in which most vertices are active take the labels that their neighbours send; before, there was no such way."""
+    edges = sources.random_edges(spark, 300, 900, seed=4).union(spark.createDataFrame([(7, 7), (900, 900)], "umi1 long, umi2 long"))
+    edges = graph.canonical_edges(edges)
+    one, two = [], []
+    pushed = rows(label_propagation.epoch(edges, seed=3, trace=one))
+    monkeypatch.setattr(label_propagation, "neighbour_mode_of_many", label_propagation.neighbour_mode)
+    monkeypatch.setattr(label_propagation, "MANY", 1)
+    assert rows(label_propagation.epoch(edges, seed=3, trace=two)) == pushed and one == two
